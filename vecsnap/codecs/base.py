@@ -6,9 +6,6 @@ encodes and decodes a DataFrame lazily in one narrow Arrow pass per call.
 
 from __future__ import annotations
 
-import dataclasses
-import json
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,10 +19,7 @@ def stable(value: float) -> float:
 
 
 class ModelBase:
-    """Save / load and the fused reconstruct / error passes."""
-
-    def to_json(self) -> str:
-        return json.dumps({"kind": type(self).__name__, **dataclasses.asdict(self)})
+    """The fused reconstruct and error passes."""
 
     def _encode_matrix(self, x: np.ndarray) -> dict[str, np.ndarray]:
         raise NotImplementedError

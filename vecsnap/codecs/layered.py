@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import dataclasses
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -314,10 +315,14 @@ class LayeredCodec:
 
     def fit(self, df: DataFrame, column: str = "embedding") -> LayeredModel:
         """One aggregation job per stage; residuals are recomputed from known scales."""
-        if self.kind == "sparse" and self.max_stages < 2:
-            raise ValueError("sparse refinement needs at least 2 stages")
-        if self.kind == "dual" and self.max_stages < 2:
-            raise ValueError("the dual base needs at least 2 stages")
+        return self.fit_targets(df, [self.target_bpd], column)[0]
+
+    def fit_targets(
+        self, df: DataFrame, targets: Sequence[float], column: str = "embedding"
+    ) -> list[LayeredModel]:
+        """Models for several target rates; scales and stage rates are fitted once."""
+        if self.kind in ("sparse", "dual") and self.max_stages < 2:
+            raise ValueError(f"the {self.kind} kind needs at least 2 stages")
         scales: list[float] = []
         n_vectors = None
         budgeted = self.kind in ("sparse", "dual")
@@ -326,18 +331,20 @@ class LayeredCodec:
             if scales and not budgeted and mean_square < 1e-15:
                 break
             scales.append(stable(100.0 / (math.sqrt(mean_square) + 1e-15)))
-        model = self.fixed(scales)
+        dense = self.fixed(scales)
         if not budgeted:
-            return model
-        rates = {
-            r["stage"]: r["entropy_bits"] / 8.0
-            for r in code_entropy(model.code_rows(df, column)).collect()
-        }
-        stage_bpd = tuple(stable(rates[s]) for s in range(len(scales)))
-        model = dataclasses.replace(
-            model, layers=self._layers(stage_bpd), stage_bpd=stage_bpd, target_bpd=self.target_bpd
-        )
-        return model.with_batch_cutoffs(df, column, n_vectors)
+            return [dense for _ in targets]
+        entropy = code_entropy(dense.code_rows(df, column)).collect()
+        rates = {r["stage"]: stable(r["entropy_bits"] / 8.0) for r in entropy}
+        stage_bpd = tuple(rates[s] for s in range(len(scales)))
+        models = []
+        for target in targets:
+            layers = dataclasses.replace(self, target_bpd=target)._layers(stage_bpd)
+            model = dataclasses.replace(
+                dense, layers=layers, stage_bpd=stage_bpd, target_bpd=float(target)
+            )
+            models.append(model.with_batch_cutoffs(df, column, n_vectors))
+        return models
 
     def _layers(self, bpd: tuple[float, ...]) -> tuple[Layer, ...]:
         """Densities that spend the target rate: base stages first, refinement after."""

@@ -40,7 +40,7 @@ def fold(log: DataFrame) -> DataFrame:
     )
     later = log.where("op IN ('forget', 'update')").join(
         stores.select(F.col("s_slot").alias("slot"), "stored"), "slot"
-    ).where("seq > stored")
+    ).where("seq > stored OR (seq = stored AND op = 'forget')")
     first_forget = later.groupBy("slot").agg(F.min(when(F.col("op") == "forget", F.col("seq"))).alias("gone"))
     updates = (
         later.where("op = 'update'")
@@ -64,13 +64,14 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def as_commands(state: DataFrame) -> DataFrame:
-    """A saved state as the log that recreates it (used to continue a memory)."""
-    store = state.select(
-        (F.col("seq") * 0 - 2).alias("seq"), F.lit("store").alias("op"), "slot", "key", "value"
-    )
-    forget = state.where("forgotten").select(
-        (F.col("seq") * 0 - 1).alias("seq"), F.lit("forget").alias("op"), "slot", "key", "value"
-    )
+    """A saved state as the log that recreates it (used to continue a memory).
+
+    The forget of a forgotten slot carries the sequence number of its store, which no
+    other pair of commands shares.
+    """
+    cols = ["slot", "key", "value"]
+    store = state.select("seq", F.lit("store").alias("op"), *cols)
+    forget = state.where("forgotten").select("seq", F.lit("forget").alias("op"), *cols)
     return store.unionByName(forget)
 
 
