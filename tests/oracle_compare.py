@@ -49,11 +49,15 @@ def compare(spark, con, sf: str, name: str, fn, sql: str | None):
     took_sql = time.time() - start
     if sorted(df.columns) != sorted(want_cols):
         return took, len(got), f"COLUMNS {sorted(df.columns)} != {sorted(want_cols)}"
+    kinds = {d[0]: str(d[1]) for d in cur.description}
+    expected = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
+    loose = [c for c, t in df.dtypes if expected.get(t, t) != kinds[c]]
+    note = f" TYPES {[(c, dict(df.dtypes)[c], kinds[c]) for c in loose]}" if loose else ""
     a, b = canonical(got, df.columns), canonical(want, want_cols)
     if a != b:
         bad = [(x, y) for x, y in zip(a, b) if x != y][:2]
         return took, len(got), f"VALUES {len(a)} vs {len(b)}: {bad}"
-    return took, len(got), f"ok (sql {took_sql:.1f}s)"
+    return took, len(got), f"ok (sql {took_sql:.1f}s){note}"
 
 
 def main() -> int:

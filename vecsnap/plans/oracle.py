@@ -140,14 +140,15 @@ def _budget_rate(kind: str) -> str:
             code_entropy_of(1, "h0"), code_entropy_of(2, "h1"),
             f"den AS (SELECT {density} d FROM h0, h1)",
             "en AS (SELECT vec_id, b, list_dot_product(x,x)/8 en FROM r1)",
-            "cut AS (SELECT quantile_cont(en, (SELECT 1-d FROM den)) c FROM en)",
+            """pl AS (SELECT list(en ORDER BY en) l, (count(*)-1)*(1-max(d)) h FROM en, den)""",
+            """cut AS (SELECT l[floor(h)::INT+1]+(l[floor(h)::INT+2]-l[floor(h)::INT+1])*(h-floor(h)) c FROM pl)""",
             "r2m AS (SELECT r2.*, en >= c hot FROM r2 JOIN en USING (vec_id, b), cut)",
             """h1m AS (SELECT log2(sum(c)) - sum(c*log2(c))/sum(c) h, sum(c) n, count(*) d
                FROM (SELECT q, count(*)::DOUBLE c FROM r2m WHERE hot GROUP BY q))""",
             signal(),
             """err AS (SELECT sum(m*m*CASE WHEN hot THEN list_dot_product(x,x) ELSE list_dot_product(x_before,x_before) END) noise FROM r2m)""",
         )
-        + f"""SELECT round({meta},6) metadata_bpd, round((h0.h*h0.n+h1m.h*h1m.n)/(h0.n*8),6) code_bpd,
+        + f"""SELECT {meta}::DOUBLE metadata_bpd, round((h0.h*h0.n+h1m.h*h1m.n)/(h0.n*8),6) code_bpd,
   round({meta}+(h0.h*h0.n+h1m.h*h1m.n)/(h0.n*8),6) total_bpd, (h0.n+h1m.n)::BIGINT n_codes, (h0.d+h1m.d)::BIGINT n_distinct,
   (h0.d+h1m.d) > 0.5*(h0.n+h1m.n) sample_limited,
   round(10*log10((SELECT sum(p) FROM sig)/noise),4) snr_db FROM h0, h1m, err"""
@@ -161,7 +162,7 @@ def _dense_rate(norm: str, meta: float) -> str:
             code_entropy_of(1, "h0"), code_entropy_of(2, "h1"), signal(),
             "err AS (SELECT sum(m*m*list_dot_product(x,x)) noise FROM r2)",
         )
-        + f"""SELECT round({meta},6) metadata_bpd, round((h0.h+h1.h)/8,6) code_bpd, round({meta}+(h0.h+h1.h)/8,6) total_bpd,
+        + f"""SELECT {meta}::DOUBLE metadata_bpd, round((h0.h+h1.h)/8,6) code_bpd, round({meta}+(h0.h+h1.h)/8,6) total_bpd,
   (h0.n+h1.n)::BIGINT n_codes, (h0.d+h1.d)::BIGINT n_distinct, (h0.d+h1.d) > 0.5*(h0.n+h1.n) sample_limited,
   round(10*log10((SELECT sum(p) FROM sig)/noise),4) snr_db FROM h0, h1, err"""
     )
@@ -184,11 +185,11 @@ def _hot_stage(i: int, threshold: float) -> str:
     hot = "TRUE" if threshold >= 1 else f"list_dot_product(x,x)/8 > (SELECT quantile_cont(list_dot_product(x,x)/8,{threshold}) FROM hr{i})"
     return f"""
 hh{i} AS (SELECT * FROM hr{i} WHERE {hot}),
-hs{i} AS (SELECT vec_id, b, arg_max(id, list_dot_product(x,c)) id, max(list_dot_product(x,c)) d FROM hh{i}, cb GROUP BY vec_id, b),
+hs{i} AS (SELECT vec_id, b, arg_max(cb.id, list_dot_product(x,c)) id, max(list_dot_product(x,c)) d FROM hh{i}, cb GROUP BY vec_id, b),
 hq{i} AS (SELECT quantile_cont(d,0.001) lo, greatest(quantile_cont(d,0.999)-quantile_cont(d,0.001),1e-6) sp FROM hs{i}),
 hl{i} AS (SELECT vec_id, b, id, floor(least(greatest((d-lo)/sp,0),0.9999)*15)+1 lev, lo, sp FROM hs{i}, hq{i}),
 hr{i + 1} AS (SELECT o.vec_id, o.label, o.b, l.id, l.lev,
-   CASE WHEN l.id IS NULL THEN o.x ELSE list_transform(range(1,9), lambda k: o.x[k]-cb.c[k]*(lo+(lev-0.5)/15*sp)) END x
+   CASE WHEN l.id IS NULL THEN o.x ELSE list_transform(range(1,9), lambda k: o.x[k]-cb.c[k]*(lo+(l.lev-0.5)/15*sp)) END x
    FROM hr{i} o LEFT JOIN hl{i} l USING (vec_id, b) LEFT JOIN cb ON cb.id = l.id)"""
 
 
