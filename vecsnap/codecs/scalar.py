@@ -25,6 +25,24 @@ class ScalarModel(ModelBase):
     step: tuple[float, ...]  # max - min + 1e-9
 
     def encode(self, df: DataFrame, column: str = "embedding", out: str = "codes") -> DataFrame:
+        model = self
+
+        def kernel(batch: pa.RecordBatch):
+            code = model._encode_matrix(to_matrix(batch.column(column), model.dim))["codes"]
+            return {out: lists(code.astype(np.int16))}
+
+        return add_columns(df, kernel, f"{out} array<smallint>", self.dim, drop=[column])
+
+    def decode(self, encoded: DataFrame, codes: str = "codes", out: str = "rebuilt") -> DataFrame:
+        model = self
+
+        def kernel(batch: pa.RecordBatch):
+            return {out: lists(model._decode_matrix({"codes": to_matrix(batch.column(codes), model.dim)}))}
+
+        return add_columns(encoded, kernel, f"{out} array<double>", self.dim, drop=[codes])
+
+    def encode_builtin(self, df: DataFrame, column: str = "embedding", out: str = "codes") -> DataFrame:
+        """The same codes with built-in expressions (no Python worker)."""
         levels = float(1 << self.bits)
         scaled = F.zip_with(
             F.zip_with(vec(column), literal_vector(self.lo), lambda x, lo: x - lo),
@@ -33,7 +51,7 @@ class ScalarModel(ModelBase):
         )
         return df.withColumn(out, scaled.cast("array<smallint>")).drop(column)
 
-    def decode(self, encoded: DataFrame, codes: str = "codes", out: str = "rebuilt") -> DataFrame:
+    def decode_builtin(self, encoded: DataFrame, codes: str = "codes", out: str = "rebuilt") -> DataFrame:
         levels = float(1 << self.bits)
         middle = F.zip_with(
             F.transform(codes, lambda c: (c.cast("double") + 0.5) / levels),

@@ -8,21 +8,43 @@ receives a third of all commands is merged map side like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecsnap.operators.quantiles import order_statistic
 from vecsnap.operators.running import running_totals
 from vecsnap.operators.search import lattice_key
 
+# Largest ring whose slots are numbered in one task.
+LOCAL_RING = 1_000_000
 
-def assign_slots(
-    log: DataFrame, capacity: int, stored_before: int = 0, small_rows: int | None = None
-) -> DataFrame:
-    """Give every store without a slot its ring position ``(n-th store - 1) mod capacity``."""
-    is_store = ((F.col("op") == "store") & F.col("slot").isNull()).cast("bigint")
-    counted = running_totals(log, "seq", {"_n": is_store}, small_rows=small_rows)
+
+def assign_slots(stores: DataFrame, capacity: int, stored_before: int = 0) -> tuple[DataFrame, int]:
+    """Ring positions ``(n-th store - 1) mod capacity`` of stores without a slot, and their count.
+
+    Only the last ``capacity`` of them can survive in the ring, so older ones are left
+    out: a cut-off sequence number replaces numbering the whole log. A ring too large to
+    number in one place falls back to distributed running counts.
+    """
+    open_slot = stores.where("slot IS NULL")
+    n = open_slot.count()
+    if capacity > LOCAL_RING:
+        counted = running_totals(open_slot, "seq", {"_n": F.lit(1).cast("bigint")})
+    else:
+        if n > capacity:
+            cut = order_statistic(open_slot, "seq", n - capacity + 1, n)
+            # One unit of slack covers the rounding of long numbers to doubles.
+            open_slot = open_slot.where(F.col("seq") >= F.lit(int(cut - abs(cut) * 1e-12) - 1))
+        back = F.row_number().over(Window.orderBy(F.desc("seq")))
+        counted = open_slot.withColumn("_n", n + 1 - back).where(F.col("_n") > n - capacity)
     ring = F.pmod(F.col("_n") - 1 + stored_before, F.lit(capacity)).cast("bigint")
-    return counted.withColumn("slot", F.coalesce("slot", ring)).drop("_n")
+    return counted.withColumn("slot", ring).drop("_n"), n
+
+
+def place(log: DataFrame, capacity: int, stored_before: int = 0) -> tuple[DataFrame, int]:
+    """The log with every relevant store placed, and the number of ring stores in it."""
+    ring, n = assign_slots(log.where("op = 'store'"), capacity, stored_before)
+    return ring.unionByName(log.where("slot IS NOT NULL")), n
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -75,14 +97,13 @@ def as_commands(state: DataFrame) -> DataFrame:
     return store.unionByName(forget)
 
 
-def anchor_keys(log: DataFrame, dim: int) -> DataFrame:
-    """Snap the keys of store commands to the lattice: ``E8(10 k) / 10``."""
-    stores = log.where("op = 'store'")
-    ids = [c for c in log.columns if c != "key"]
-    snapped = lattice_key(stores, "key", dim, ids, "anchor").withColumnRenamed("anchor", "key")
-    rest = log.where("op <> 'store'").withColumn("key", F.lit(None).cast("array<double>"))
-    return snapped.select(*log.columns).unionByName(rest.select(*log.columns))
+def anchor_keys(state: DataFrame, dim: int) -> DataFrame:
+    """Snap the keys of a state to the lattice: ``E8(10 k) / 10``."""
+    others = [c for c in state.columns if c != "key"]
+    return lattice_key(state, "key", dim, others, "anchor").withColumnRenamed("anchor", "key")
 
 
-def build_memory(log: DataFrame, dim: int, capacity: int = 1024, small_rows: int | None = None) -> DataFrame:
-    return fold(assign_slots(anchor_keys(log, dim), capacity, small_rows=small_rows))
+def build_memory(log: DataFrame, dim: int, capacity: int = 1024) -> DataFrame:
+    """State after the whole log. Keys are snapped once a store has survived."""
+    placed, _ = place(log, capacity)
+    return anchor_keys(fold(placed), dim)

@@ -27,19 +27,31 @@ def exact_quantiles(
     by: Sequence[str] = (),
     max_rows: int | None = None,
     buffer_values: int = BUFFER_VALUES,
+    with_mean: bool = False,
 ) -> dict[tuple, list[float]]:
     """Linear-interpolated quantiles of ``value`` per group of ``by``.
 
     ``by`` must have few groups (positions, stages, configurations): the result is
     a driver dict. ``max_rows`` is a proven upper bound on the values per group;
-    when it fits the buffer one plain aggregation answers.
+    when it fits the buffer one plain aggregation answers. ``with_mean`` appends the mean.
     """
     by, probs = list(by), [float(p) for p in probs]
     df = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     if max_rows is not None and max_rows <= buffer_values:
-        rows = df.groupBy(*by).agg(F.percentile("_v", probs).alias("q"), F.count("_v").alias("n"))
-        return {tuple(r[c] for c in by): list(r["q"]) for r in rows.collect() if r["n"]}
-    return _select(df, probs, by, buffer_values)
+        rows = df.groupBy(*by).agg(
+            F.percentile("_v", probs).alias("q"), F.count("_v").alias("n"), F.avg("_v").alias("m")
+        )
+        return {
+            tuple(r[c] for c in by): [*r["q"], r["m"]] if with_mean else list(r["q"])
+            for r in rows.collect()
+            if r["n"]
+        }
+    found = _select(df, probs, by, buffer_values)
+    if with_mean:
+        for r in df.groupBy(*by).agg(F.avg("_v").alias("m")).collect():
+            if r["m"] is not None:
+                found[tuple(r[c] for c in by)].append(r["m"])
+    return found
 
 
 def _select(df, probs, by, buffer_values):

@@ -1,8 +1,8 @@
 """Exact nearest-neighbour search, memory retrieval and codeword assignment.
 
-One side is turned into a matrix of proven size and sent to the tasks; each task
-keeps only its best ``k`` per query, so no pair table is ever shuffled. A side that
-exceeds the size limit is cut into blocks by hash and scanned block after block.
+One side is turned into a matrix of checked size and sent to the tasks; each task
+keeps only its best ``k`` per query, so no pair table is ever shuffled. If both sides
+exceed the limit, the smaller is cut into blocks by hash and scanned block by block.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vecsnap.kernels.arrow import map_batches, to_matrix
+from vecsnap.kernels.arrow import map_batches, slices, to_matrix
 from vecsnap.kernels.lattice import best_codeword, e8_codebook, nearest_e8, pad_to
 from vecsnap.operators.sampling import hash_sample
 
@@ -20,43 +21,56 @@ from vecsnap.operators.sampling import hash_sample
 SHIP_BYTES = 64 << 20
 
 
-def _scores(left: np.ndarray, right: np.ndarray, metric: str) -> np.ndarray:
-    """Larger is nearer: inner product, or negative squared L2 distance."""
-    if metric == "dot":
-        return left @ right.T
-    # Differences, not the expanded square: close pairs keep full precision.
-    out = np.empty((len(left), len(right)))
-    step = max(1, (1 << 22) // max(1, right.size))
-    for a in range(0, len(left), step):
-        gap = left[a : a + step, None, :] - right[None, :, :]
-        out[a : a + step] = -np.einsum("abi,abi->ab", gap, gap)
-    return out
-
-
-def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row-wise best ``k`` by (score descending, id ascending): positions, flat row numbers."""
-    if scores.shape[1] > 4 * k:
-        # Everything at least as good as the k-th score stays, so ties are kept whole.
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero(scores >= kth)
+def _best(
+    left: np.ndarray, right: np.ndarray, ids: np.ndarray, k: int, metric: str,
+    banned: np.ndarray | None = None,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best ``k`` rows of ``right`` per row of ``left``: (left row, right row, score).
+
+    Larger scores are nearer: inner product, or negative squared distance. Ties go to the
+    smaller id. A matrix product finds candidates; distances of all candidates that could
+    be among the best are then recomputed from differences at full precision.
+    """
+    cross = left @ right.T
+    slack = 0.0
+    if metric == "l2":
+        a, b = np.einsum("ij,ij->i", left, left), np.einsum("ij,ij->i", right, right)
+        cross = 2.0 * cross - a[:, None] - b[None, :]
+        slack = 1e-12 * (a[:, None] + (b.max() if len(b) else 0.0))
+    if banned is not None:
+        cross[banned] = -np.inf
+    if cross.shape[1] > k:
+        kth = -np.partition(-cross, k - 1, axis=1)[:, k - 1 : k]
+        rows, cols = np.nonzero((cross >= kth - slack) & (cross > -np.inf))
+    else:
+        rows, cols = np.nonzero(cross > -np.inf)
+    if metric == "l2":
+        gap = left[rows] - right[cols]
+        score = -np.einsum("ij,ij->i", gap, gap)
     else:
-        rows, cols = np.indices(scores.shape).reshape(2, -1)
-    order = np.lexsort((ids[cols], -scores[rows, cols], rows))
-    rows, cols = rows[order], cols[order]
-    starts = np.searchsorted(rows, np.arange(scores.shape[0]))
+        score = cross[rows, cols]
+    return _first_k(rows, cols, score, ids[cols], len(left), k)
+
+
+def _first_k(rows, cols, score, ids, n_rows: int, k: int):
+    order = np.lexsort((ids, -score, rows))
+    rows, cols, score = rows[order], cols[order], score[order]
+    starts = np.searchsorted(rows, np.arange(n_rows))
     keep = np.arange(len(rows)) - starts[rows] < k
-    return rows[keep], cols[keep]
+    return rows[keep], cols[keep], score[keep]
 
 
-def _ship(df: DataFrame, id_col: str, column: str, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """A table whose size was checked, as id vector and matrix on the driver."""
-    table = df.select(id_col, column).toArrow().combine_chunks()
+def _ship(df: DataFrame, id_col: str, column: str, dim: int, limit: int | None, extra=()):
+    """The table as (ids, matrix, arrow table) sorted by id, or None above ``limit`` rows."""
+    rows = df.select(F.col(id_col).cast("bigint").alias(id_col), column, *extra)
+    table = (rows if limit is None else rows.limit(limit + 1)).toArrow().combine_chunks()
+    if limit is not None and table.num_rows > limit:
+        return None
     if table.num_rows == 0:
-        return np.zeros(0, np.int64), np.zeros((0, dim))
-    ids = table.column(id_col).to_numpy()
-    order = np.argsort(ids, kind="stable")
+        return np.zeros(0, np.int64), np.zeros((0, dim)), table
+    table = table.sort_by(id_col).combine_chunks()
     matrix = to_matrix(table.column(column).combine_chunks(), dim)
-    return ids[order], matrix[order]
+    return table.column(id_col).to_numpy(), matrix, table
 
 
 def nearest(
@@ -75,66 +89,87 @@ def nearest(
     """Exact top-``k`` items per query: ``(query_id, item_id, score, rank)``.
 
     Ties go to the smaller item id. ``score`` is the inner product or the L2 distance.
+    Few items: they are shipped and every query is answered where it lies, without a
+    shuffle. Few queries: they are shipped, each task keeps k per query over all its
+    items, and those are merged. Otherwise the smaller table goes block by block.
     """
     limit = max(1, ship_bytes // (8 * dim))
-    n_queries, n_items = queries.count(), items.count()
-    same = skip_same_id
-    if n_queries <= limit or n_queries <= n_items:
-        blocks = -(-n_queries // limit) or 1
-        parts = [
-            _scan(items, item_id, item_vec, _block(queries, query_id, b, blocks), query_id, query_vec,
-                  k, dim, metric, same, True)
-            for b in range(blocks)
-        ]
+    q_side = (queries, query_id, query_vec)
+    i_side = (items, item_id, item_vec)
+    common = (k, dim, metric, skip_same_id)
+    shipped = _ship(*i_side, dim, limit)
+    if shipped is not None:
+        found = _scan(*q_side, shipped, *common, small_is_query=False)
+        return _named(found, query_id, item_id, metric)
+    shipped = _ship(*q_side, dim, limit)
+    if shipped is not None:
+        parts = [_scan(*i_side, shipped, *common, small_is_query=True)]
     else:
-        blocks = -(-n_items // limit) or 1
-        parts = [
-            _scan(queries, query_id, query_vec, _block(items, item_id, b, blocks), item_id, item_vec,
-                  k, dim, metric, same, False)
-            for b in range(blocks)
-        ]
+        n_queries, n_items = queries.count(), items.count()
+        by_query = n_queries <= n_items
+        small, big = (q_side, i_side) if by_query else (i_side, q_side)
+        blocks = -(-min(n_queries, n_items) * 5 // (4 * limit)) + 1
+        parts = []
+        for b in range(blocks):
+            block = small[0].where(F.pmod(F.xxhash64(small[1]), F.lit(blocks)) == b)
+            parts.append(_scan(*big, _ship(block, *small[1:], dim, None), *common, small_is_query=by_query))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionByName(part)
     w = Window.partitionBy("q").orderBy(F.desc("s"), "i")
+    found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return _named(found, query_id, item_id, metric)
+
+
+def _named(found: DataFrame, query_id: str, item_id: str, metric: str) -> DataFrame:
     score = F.sqrt(-F.col("s")) if metric == "l2" else F.col("s")
-    return (
-        found.withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
-        .select(F.col("q").alias(query_id), F.col("i").alias(item_id), score.alias("score"), "rank")
+    return found.select(
+        F.col("q").alias(query_id), F.col("i").alias(item_id), score.alias("score"), "rank"
     )
 
 
-def _block(df: DataFrame, id_col: str, b: int, blocks: int) -> DataFrame:
-    return df if blocks == 1 else df.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b)
+def _scan(big, big_id, big_vec, shipped, k, dim, metric, same, small_is_query):
+    """Score all rows of ``big`` against the shipped matrix, keeping k per query and task."""
+    shared = big.sparkSession.sparkContext.broadcast(shipped[:2])
+    schema = T.StructType.fromDDL("q bigint, i bigint, s double, rank int")
+    width = max(dim, min(len(shipped[0]), 1 << 12))
 
+    def out(q, i, s, rank):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(q), pa.array(i), pa.array(s), pa.array(rank.astype(np.int32))], schema.names
+        )
 
-def _scan(big, big_id, big_vec, small, small_id, small_vec, k, dim, metric, same, small_is_query):
-    """Score every row of ``big`` against the shipped matrix; keep k per query and batch."""
-    ids, matrix = _ship(small, small_id, small_vec, dim)
-    shared = big.sparkSession.sparkContext.broadcast((ids, matrix))
+    def ranks(rows):
+        starts = np.searchsorted(rows, np.unique(rows))
+        return np.arange(len(rows)) - np.repeat(starts, np.diff(np.append(starts, len(rows)))) + 1
 
-    def kernel(batch: pa.RecordBatch):
+    def run(batches):
         s_ids, s_mat = shared.value
-        if not len(s_ids) or not batch.num_rows:
-            return None
-        b_ids = batch.column("_id").to_numpy()
-        scores = _scores(to_matrix(batch.column("_v"), dim), s_mat, metric)
-        if same:
-            scores[b_ids[:, None] == s_ids[None, :]] = -np.inf
-        if small_is_query:
-            q, i = _top(scores.T, b_ids, k)
-            q_out, i_out, s_out = s_ids[q], b_ids[i], scores.T[q, i]
-        else:
-            q, i = _top(scores, s_ids, k)
-            q_out, i_out, s_out = b_ids[q], s_ids[i], scores[q, i]
-        real = s_out > -np.inf
-        return {"q": pa.array(q_out[real]), "i": pa.array(i_out[real]), "s": pa.array(s_out[real])}
+        best = None  # per task: (query row, item id, score) of the best so far
+        for part in slices(batches, width):
+            if not len(s_ids) or not part.num_rows:
+                continue
+            b_ids = part.column("_id").to_numpy()
+            x = to_matrix(part.column("_v"), dim)
+            same_id = b_ids[:, None] == s_ids[None, :] if same else None
+            if small_is_query:
+                rows, cols, s = _best(s_mat, x, b_ids, k, metric, None if same_id is None else same_id.T)
+                new = (rows, b_ids[cols], s)
+                if best is not None:
+                    rows, i, s = (np.concatenate(z) for z in zip(best, new))
+                    rows, at, s = _first_k(rows, np.arange(len(rows)), s, i, len(s_ids), k)
+                    new = (rows, i[at], s)
+                best = new
+            else:
+                rows, cols, s = _best(x, s_mat, s_ids, k, metric, same_id)
+                yield out(b_ids[rows], s_ids[cols], s, ranks(rows))
+        if best is not None:
+            yield out(s_ids[best[0]], best[1], best[2], ranks(best[0]))
 
     rows = big.select(
         F.col(big_id).cast("bigint").alias("_id"), F.col(big_vec).cast("array<double>").alias("_v")
     )
-    return map_batches(rows, kernel, "q bigint, i bigint, s double", dim)
+    return rows.mapInArrow(run, schema)
 
 
 def recall_at_k(
@@ -179,26 +214,45 @@ def lattice_key(df: DataFrame, column: str, dim: int, id_cols: list[str], out: s
 
 
 def retrieve(
-    queries: DataFrame, memory: DataFrame, dim: int, query_id: str = "q_id", query_vec: str = "q_vec"
-) -> DataFrame:
+    queries: DataFrame, memory: DataFrame, dim: int, query_id: str = "q_id", query_vec: str = "q_vec",
+    ship_bytes: int = SHIP_BYTES,
+) -> DataFrame:
     """Value of the live slot with the largest inner product with the query's anchor.
 
-    Forgotten slots are left out; ties go to the lowest slot.
+    Forgotten slots are left out; ties go to the lowest slot. A memory of checked size is
+    shipped with its values; a larger one is searched block-wise and joined.
     """
+    live = memory.where(~F.col("forgotten")).select("slot", "key", "value")
     anchors = lattice_key(queries, query_vec, dim, [query_id], "anchor")
-    live = memory.where(~F.col("forgotten"))
-    best = nearest(
-        anchors, live, 1, dim, query_id, "anchor", "slot", "key", metric="dot"
-    ).withColumnRenamed("score", "similarity")
-    values = live.select(F.col("slot").cast("bigint").alias("slot"), "value")
-    return best.drop("rank").join(values, "slot").select(query_id, "slot", "similarity", "value")
+    shipped = _ship(live, "slot", "key", dim, max(1, ship_bytes // (16 * dim)), ["value"])
+    if shipped is None:
+        best = nearest(anchors, live, 1, dim, query_id, "anchor", "slot", "key", metric="dot")
+        best = best.withColumnRenamed("score", "similarity").drop("rank")
+        values = live.select(F.col("slot").cast("bigint").alias("slot"), "value")
+        return best.join(values, "slot").select(query_id, "slot", "similarity", "value")
+    slots, keys, held = shipped
+    values = held.column("value").combine_chunks()
+    shared = queries.sparkSession.sparkContext.broadcast((slots, keys, values))
+    schema = T.StructType(
+        [f for f in anchors.schema.fields if f.name == query_id]
+        + T.StructType.fromDDL("slot bigint, similarity double").fields
+        + [f for f in memory.schema.fields if f.name == "value"]
+    )
+
+    def run(batches):
+        slots, keys, values = shared.value
+        for part in slices(batches, max(dim, len(slots))):
+            if len(slots):
+                rows, cols, s = _best(to_matrix(part.column("anchor"), dim), keys, slots, 1, "dot")
+                at = pa.array(cols)
+                cols_out = [part.column(query_id).take(pa.array(rows)), pa.array(slots[cols]), pa.array(s)]
+                yield pa.RecordBatch.from_arrays([*cols_out, values.take(at)], schema.names)
+
+    return anchors.mapInArrow(run, schema)
 
 
 def nearest_codeword(df: DataFrame, column: str, dim: int, id_cols: list[str]) -> DataFrame:
     """``(ids.., chunk_id, codeword, score)``: best of the 240 codewords per 8-block."""
-    from vecsnap.kernels.arrow import slices
-    from pyspark.sql import types as T
-
     blocks = -(-dim // 8)
     source = df.select(*id_cols, column)
     ids = [f for f in source.schema.fields if f.name in id_cols]

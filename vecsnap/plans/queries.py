@@ -138,7 +138,9 @@ def dim_median_mad(spark, sf):
 
 def order_price_quantiles(spark, sf):
     df = table(spark, sf, "orders", "o_orderpriority", "o_totalprice")
-    q = exact_quantiles(df, "o_totalprice", [0.001, 0.25, 0.5, 0.999], ["o_orderpriority"])
+    q = exact_quantiles(
+        df, "o_totalprice", [0.001, 0.25, 0.5, 0.999], ["o_orderpriority"], max_rows=df.count()
+    )
     rows = [(k[0], *v) for k, v in q.items()]
     ddl = "o_orderpriority string, q001 double, q250 double, q500 double, q999 double"
     return rounded(spark.createDataFrame(rows, ddl), 4)
@@ -346,9 +348,10 @@ def payload_sums(spark, sf):
 
 def hot_chunks(spark, sf):
     """Blocks above the 95 % energy quantile and in the densest quarter, per position."""
-    df = emb(spark, sf).select(F.posexplode(A.chunk("embedding", DIM, 8)).alias("chunk_id", "x"))
-    energy = df.select("chunk_id", (A.sum_squares("x") / 8).alias("energy"))
-    hot, dense = exact_quantiles(energy, "energy", [0.95, 0.75])[()]
+    df = emb(spark, sf)
+    long = df.select(F.posexplode(A.chunk("embedding", DIM, 8)).alias("chunk_id", "x"))
+    energy = long.select("chunk_id", (A.sum_squares("x") / 8).alias("energy"))
+    hot, dense = exact_quantiles(energy, "energy", [0.95, 0.75], max_rows=df.count() * 8)[()]
     return energy.groupBy("chunk_id").agg(
         F.count_if(F.col("energy") > hot).alias("n_hot"), F.count_if(F.col("energy") >= dense).alias("n_dense")
     )

@@ -61,7 +61,8 @@ def read_word_vectors(
 
 def parse_word_vectors(lines: DataFrame, text: str, dim: int | None = None) -> DataFrame:
     """Adds ``word`` and ``embedding`` to a table of text lines; malformed lines are left out."""
-    tokens = F.split(F.trim(F.col(text)), r"\s+")
+    # With a fixed length, everything after the last used value stays one unsplit token.
+    tokens = F.split(F.trim(F.col(text)), r"\s+", -1 if dim is None else dim + 2)
     count = F.size(tokens) - 1
     values = F.transform(
         F.slice(tokens, F.lit(2), F.greatest(count, F.lit(0)) if dim is None else F.lit(dim)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vecsnap.codecs.base import ModelBase
-from vecsnap.operators.memory import anchor_keys, as_commands, assign_slots, fold
+from vecsnap.operators.memory import anchor_keys, as_commands, fold, place
 from vecsnap.operators.metrics import summarize
 
 LOG_SCHEMA = "seq bigint, op string, slot bigint, key array<double>, value array<double>"
@@ -63,12 +63,14 @@ class MemoryTable:
         last = self._marker(version)
         stored = last[1] if last else 0
         log = batch.select("seq", "op", F.col("slot").cast("bigint").alias("slot"), "key", "value")
-        log = assign_slots(anchor_keys(log, self.dim), self.capacity, stored)
+        log, new = place(log, self.capacity, stored)
         if last:
             before = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/state/v{last[0]}")
             log = as_commands(before).unionByName(log)
-        fold(log).write.mode("overwrite").parquet(f"{self.path}/state/v{version}")
-        stored += batch.where("op = 'store' AND slot IS NULL").count()
+        # Snapping is idempotent, so keys of the earlier state pass through unchanged.
+        state = anchor_keys(fold(log), self.dim).select("slot", "key", "value", "forgotten", "seq")
+        state.write.mode("overwrite").parquet(f"{self.path}/state/v{version}")
+        stored += new
         marker = self.spark.createDataFrame([(version, stored)], "version bigint, stored bigint")
         marker.coalesce(1).write.mode("overwrite").json(f"{self.path}/markers/v{version}")
 
