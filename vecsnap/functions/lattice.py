@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from vecsnap.functions.arrays import argmax, sign, squared_distance, total
@@ -41,10 +43,8 @@ def e8_nearest(df: DataFrame, column: str, out: str = "q") -> DataFrame:
     )
 
 
-@pandas_udf("array<double>")
+@pandas_udf(T.ArrayType(T.DoubleType()))
 def _e8_udf(x: pd.Series) -> pd.Series:
-    import numpy as np
-
     if len(x) == 0:
         return x
     return pd.Series(list(nearest_e8(np.stack(x.to_numpy()).astype(float))))

@@ -14,6 +14,8 @@ def local_session(cores: int | str = 8, app: str = "vecsnap", **conf: str) -> Sp
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
+        # One partition per core already; merging small ones would idle cores when rows expand.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")

@@ -42,6 +42,9 @@ def split_valid(df: DataFrame, dim: int, column: str = "embedding") -> tuple[Dat
     return df.where(is_valid(dim, column)), df.where(~is_valid(dim, column))
 
 
+NUMBER = r"(?i)^[-+]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[-+]?[0-9]+)?|nan|inf|infinity)$"
+
+
 def read_word_vectors(
     spark: SparkSession, path: str, dim: int | None = None, n: int | None = None
 ) -> DataFrame:
@@ -66,7 +69,8 @@ def parse_word_vectors(lines: DataFrame, text: str, dim: int | None = None) -> D
     count = F.size(tokens) - 1
     values = F.transform(
         F.slice(tokens, F.lit(2), F.greatest(count, F.lit(0)) if dim is None else F.lit(dim)),
-        lambda t: t.try_cast("double"),
+        # The pattern keeps words away from the cast, where each would raise and be caught.
+        lambda t: F.when(t.rlike(NUMBER), t.try_cast("double")),
     )
     out = lines.withColumn("word", tokens[0]).withColumn("embedding", values)
     if dim is not None:
