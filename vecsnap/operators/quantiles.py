@@ -39,18 +39,18 @@ def exact_quantiles(
     df = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
     if max_rows is not None and max_rows <= buffer_values:
         rows = df.groupBy(*by).agg(
-            F.percentile("_v", probs).alias("q"), F.count("_v").alias("n"), F.avg("_v").alias("m")
+            F.percentile("_v", probs).alias("__q"), F.count("_v").alias("__n"), F.avg("_v").alias("__m")
         )
         return {
-            tuple(r[c] for c in by): [*r["q"], r["m"]] if with_mean else list(r["q"])
+            tuple(r[c] for c in by): [*r["__q"], r["__m"]] if with_mean else list(r["__q"])
             for r in rows.collect()
-            if r["n"]
+            if r["__n"]
         }
     found = _select(df, probs, by, buffer_values)
     if with_mean:
-        for r in df.groupBy(*by).agg(F.avg("_v").alias("m")).collect():
-            if r["m"] is not None:
-                found[tuple(r[c] for c in by)].append(r["m"])
+        for r in df.groupBy(*by).agg(F.avg("_v").alias("__m")).collect():
+            if r["__m"] is not None:
+                found[tuple(r[c] for c in by)].append(r["__m"])
     return found
 
 
@@ -61,39 +61,40 @@ def _select(df, probs, by, buffer_values):
     sketch = (
         df.groupBy(*by)
         .agg(
-            F.count("_v").alias("n"),
-            F.min("_v").alias("lo"),
-            F.max("_v").alias("hi"),
-            F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("ends"),
+            F.count("_v").alias("__n"),
+            F.min("_v").alias("__lo"),
+            F.max("_v").alias("__hi"),
+            F.percentile_approx("_v", ends, SKETCH_ACCURACY).alias("__ends"),
         )
         .collect()
     )
     result: dict[tuple, list[float]] = {}
     open_items = []
     for r in sketch:
-        if not r["n"]:
+        if not r["__n"]:
             continue
         group = tuple(r[c] for c in by)
         result[group] = [math.nan] * len(probs)
         for i, p in enumerate(probs):
-            rank = (r["n"] - 1) * p
+            rank = (r["__n"] - 1) * p
             open_items.append(
                 {
                     "group": group, "i": i, "k": math.floor(rank), "frac": rank - math.floor(rank),
-                    "last": r["n"] - 1, "lo": r["ends"][2 * i], "hi": r["ends"][2 * i + 1],
-                    "outer": (r["lo"], r["hi"]),
+                    "last": r["__n"] - 1, "lo": r["__ends"][2 * i], "hi": r["__ends"][2 * i + 1],
+                    "outer": (r["__lo"], r["__hi"]),
                 }
             )
 
-    def bracketed(items, extra=()):
+    def bracketed(items, extra=None):
         """Rows of ``df`` joined to the (few) brackets of their group."""
+        extra = extra or {}
         keys = [f.dataType.simpleString() for f in df.select(*by).schema.fields] if by else []
         ddl = ", ".join(
             [f"{c} {t}" for c, t in zip(by, keys)] + ["_i int", "_lo double", "_hi double"]
             + [f"{c} bigint" for c in extra] + ["_one int"]
         )
         rows = [
-            (*it["group"], it["i"], it["lo"], it["hi"], *(it[c] for c in extra), 1) for it in items
+            (*it["group"], it["i"], it["lo"], it["hi"], *(it[c] for c in extra.values()), 1) for it in items
         ]
         table = spark.createDataFrame(rows, ddl)
         on = by or ["_one"]
@@ -107,11 +108,11 @@ def _select(df, probs, by, buffer_values):
             bracketed(open_items)
             .groupBy(*by, "_i")
             .agg(
-                F.count_if(F.col("_v") < F.col("_lo")).alias("below"),
-                F.count_if(inside).alias("inside"),
-                F.max(F.when(inside, F.col("_v"))).alias("top"),
-                F.min(F.when(F.col("_v") > F.col("_hi"), F.col("_v"))).alias("above"),
-                F.percentile_approx(F.when(inside, F.col("_v")), _GRID, SKETCH_ACCURACY).alias("g"),
+                F.count_if(F.col("_v") < F.col("_lo")).alias("__below"),
+                F.count_if(inside).alias("__inside"),
+                F.max(F.when(inside, F.col("_v"))).alias("__top"),
+                F.min(F.when(F.col("_v") > F.col("_hi"), F.col("_v"))).alias("__above"),
+                F.percentile_approx(F.when(inside, F.col("_v")), _GRID, SKETCH_ACCURACY).alias("__g"),
             )
             .collect()
         )
@@ -119,7 +120,7 @@ def _select(df, probs, by, buffer_values):
         still_open = []
         for it in open_items:
             r = seen[(it["group"], it["i"])]
-            below, inside_n = r["below"], r["inside"]
+            below, inside_n = r["__below"], r["__inside"]
             upper = min(it["k"] + 1, it["last"]) if it["frac"] > 0 else it["k"]
             if it["k"] < below:
                 it["outer"] = (it["outer"][0], math.nextafter(it["lo"], -math.inf))
@@ -130,7 +131,7 @@ def _select(df, probs, by, buffer_values):
                 it["lo"], it["hi"] = it["outer"]
                 still_open.append(it)
             elif upper >= below + inside_n:
-                x, y = r["top"], r["above"]
+                x, y = r["__top"], r["__above"]
                 result[it["group"]][it["i"]] = x + (y - x) * it["frac"]
             elif it["lo"] == it["hi"]:
                 result[it["group"]][it["i"]] = it["lo"]
@@ -140,7 +141,7 @@ def _select(df, probs, by, buffer_values):
             else:
                 it["outer"] = (it["lo"], it["hi"])
                 where = (it["k"] - below) / inside_n * 100
-                grid = r["g"]
+                grid = r["__g"]
                 lo = grid[max(0, math.floor(where) - 1)]
                 hi = grid[min(100, math.ceil(where) + 1)]
                 if (lo, hi) == it["outer"]:
@@ -152,18 +153,18 @@ def _select(df, probs, by, buffer_values):
 
     if ready:
         picked = (
-            bracketed(ready, ("first", "second"))
+            bracketed(ready, {"__first": "first", "__second": "second"})
             .where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-            .groupBy(*by, "_i", "first", "second")
-            .agg(F.sort_array(F.collect_list("_v")).alias("a"))
-            .select(*by, "_i", F.expr("a[first - 1]").alias("x"), F.expr("a[second - 1]").alias("y"))
+            .groupBy(*by, "_i", "__first", "__second")
+            .agg(F.sort_array(F.collect_list("_v")).alias("__a"))
+            .select(*by, "_i", F.expr("__a[__first - 1]").alias("__x"), F.expr("__a[__second - 1]").alias("__y"))
             .collect()
         )
         fracs = {(it["group"], it["i"]): it["frac"] for it in ready}
         for r in picked:
             group = tuple(r[c] for c in by)
             f = fracs[(group, r["_i"])]
-            result[group][r["_i"]] = r["x"] + (r["y"] - r["x"]) * f
+            result[group][r["_i"]] = r["__x"] + (r["__y"] - r["__x"]) * f
     return result
 
 
