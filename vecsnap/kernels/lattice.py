@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
 import math
 
@@ -35,6 +36,7 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
     return np.where(d_half < d_whole, half, whole).T.reshape(x.shape)
 
 
+@functools.lru_cache(maxsize=1)
 def e8_codebook() -> np.ndarray:
     """The 240 minimal E8 vectors scaled to unit length.
 
@@ -54,10 +56,19 @@ def e8_codebook() -> np.ndarray:
 
 
 def best_codeword(blocks: np.ndarray, codebook: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the largest inner product per block (first wins) and that product."""
-    scores = blocks @ codebook.T
-    best = scores.argmax(axis=1)
-    return best, np.take_along_axis(scores, best[:, None], axis=1)[:, 0]
+    """Index of the largest inner product per block (first wins) and that product.
+
+    Runs over short row ranges, so the score matrix stays in the processor cache.
+    """
+    best = np.empty(len(blocks), dtype=np.int64)
+    score = np.empty(len(blocks))
+    columns = codebook.T
+    for start in range(0, len(blocks), 512):
+        scores = blocks[start : start + 512] @ columns
+        top = scores.argmax(axis=1)
+        best[start : start + 512] = top
+        score[start : start + 512] = scores[np.arange(len(top)), top]
+    return best, score
 
 
 def pad_to(x: np.ndarray, width: int) -> np.ndarray:
