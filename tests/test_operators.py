@@ -63,6 +63,14 @@ def test_running_totals_with_a_hot_key(spark, small):
     assert out.columns == ["t", "k", "v", "s", "n"]
 
 
+def test_running_totals_keep_null_rows(spark):
+    rows = [(None, 1, 5.0), (1, None, 1.0), (2, None, 2.0), (3, 1, 1.0)]
+    df = spark.createDataFrame(rows, "t bigint, k int, v double")
+    for small in (None, 10):
+        out = running_totals(df, "t", {"s": F.col("v")}, ["k"], buckets=4, small_rows=small).collect()
+        assert {(r["t"], r["k"], r["s"]) for r in out} == {(None, 1, 5.0), (3, 1, 6.0), (1, None, 1.0), (2, None, 3.0)}
+
+
 def test_sampling(spark, vectors):
     a = sampling.hash_sample(vectors, "vec_id", 30, 5)
     b = sampling.hash_sample(vectors.repartition(7), "vec_id", 30, 5)
