@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
+from vecsnap.codecs.direction import DirectionCodec
 from vecsnap.codecs.graphcode import vertices
+from vecsnap.codecs.scalar import orthogonal_matrix
 from vecsnap.functions.bits import generator_words
 from vecsnap.kernels.lattice import e8_codebook
 
@@ -155,6 +159,36 @@ def _budget_rate(kind: str) -> str:
     )
 
 
+def _dual_deep() -> str:
+    """Six-stage dual codec at 5 bits per dimension: stages 2..5 on the densest share."""
+    meta = (32 + 8 * 2 + 8) / 64
+    masked = [
+        f"""e{i} AS (SELECT log2(sum(c)) - sum(c*log2(c))/sum(c) h, sum(c) n, count(*) d
+            FROM (SELECT q, count(*)::DOUBLE c FROM r{i + 1} JOIN hb USING (vec_id, b) WHERE hot GROUP BY q))"""
+        for i in range(2, 6)
+    ]
+    ctes = [blocks_gain(32)]
+    for i in range(6):
+        ctes += [fitted_scale(i), stage(i), code_entropy_of(i + 1, f"h{i}")]
+    total = "h0.h*h0.n+h1.h*h1.n+e2.h*e2.n+e3.h*e3.n+e4.h*e4.n+e5.h*e5.n"
+    count, distinct = "h0.n+h1.n+e2.n+e3.n+e4.n+e5.n", "h0.d+h1.d+e2.d+e3.d+e4.d+e5.d"
+    return (
+        chain(
+            *ctes,
+            f"den AS (SELECT least(1.0, (5.0-{meta}-h0.h/8-h1.h/8)/((h2.h+h3.h+h4.h+h5.h)/8)) d FROM h0,h1,h2,h3,h4,h5)",
+            "en AS (SELECT vec_id, b, list_dot_product(x,x)/8 en FROM r2)",
+            "pl AS (SELECT list(en ORDER BY en) l, (count(*)-1)*(1-max(d)) h FROM en, den)",
+            "cut AS (SELECT l[floor(h)::INT+1]+(l[floor(h)::INT+2]-l[floor(h)::INT+1])*(h-floor(h)) c FROM pl)",
+            "hb AS (SELECT vec_id, b, en >= c hot FROM en, cut)", *masked, signal(),
+            """err AS (SELECT sum(r2.m*r2.m*CASE WHEN hot THEN list_dot_product(r6.x,r6.x) ELSE list_dot_product(r2.x,r2.x) END) noise
+               FROM r2 JOIN r6 USING (vec_id, b) JOIN hb USING (vec_id, b))""",
+        )
+        + f"""SELECT {meta}::DOUBLE metadata_bpd, round(({total})/(h0.n*8),6) code_bpd, round({meta}+({total})/(h0.n*8),6) total_bpd,
+  ({count})::BIGINT n_codes, ({distinct})::BIGINT n_distinct, ({distinct}) > 0.5*({count}) sample_limited,
+  round(10*log10((SELECT sum(p) FROM sig)/noise),4) snr_db FROM h0,h1,e2,e3,e4,e5,err"""
+    )
+
+
 def _dense_rate(norm: str, meta: float) -> str:
     return (
         chain(
@@ -227,6 +261,83 @@ def _knn(found: str, queries: str, items: str, k: int) -> str:
         FROM {queries}, {items} WHERE q_id <> vec_id)) WHERE rank <= {k})"""
 
 
+def _matrix(name: str, matrix) -> str:
+    """A fixed matrix as rows ``name(i, c)``."""
+    return f"{name}(i, c) AS ({_book(matrix)})"
+
+
+def _rotated() -> str:
+    """Rotated min-max rows with 4 bits and a sign bit; the rotation is a literal."""
+    turn = orthogonal_matrix(64)
+    body = chain(
+        RAW, _matrix("tc", turn.T), _matrix("tr", turn),
+        "y AS (SELECT vec_id, list(list_dot_product(v,c) ORDER BY i) y FROM e, tc GROUP BY vec_id)",
+        "w AS (SELECT *, list_min(y) lo, (list_max(y)-list_min(y))/15 st FROM y)",
+        "q AS (SELECT *, list_transform(y, lambda t: round_even((t-lo)/st,0)) q FROM w)",
+        "z AS (SELECT vec_id, list_transform(range(1,65), lambda k: lo+q[k]*st+sign(y[k]-lo-q[k]*st)*st/4) z FROM q)",
+        "rec AS (SELECT vec_id, list(list_dot_product(z,c) ORDER BY i) r FROM z, tr GROUP BY vec_id)",
+    )
+    return body.rstrip() + by_label("rec")
+
+
+def _direction_chain(i: int, stage_no: int) -> str:
+    """Direction stage on u{i}(vec_id, b, x) with 2.5 norm bits -> u{i+1}."""
+    odd = 1 if stage_no % 2 == 0 else 0
+    return f"""
+v{i} AS (SELECT *, sqrt(list_dot_product(x,x)) nr FROM u{i}),
+k{i} AS (SELECT vec_id, b, arg_max(cb.id, list_dot_product(x,c)) id FROM v{i}, cb GROUP BY vec_id, b),
+p{i} AS (SELECT quantile_cont(ln(nr),0.002) a, greatest(quantile_cont(ln(nr),0.998), quantile_cont(ln(nr),0.002)+1e-3) z FROM v{i}),
+o{i} AS (SELECT a-(z-a)/(2*(2**2.5-1)) lo, greatest((z-a)*(1+1/(2**2.5-1)),1e-3) sp FROM p{i}),
+h{i} AS (SELECT v{i}.vec_id, v{i}.b, x, k{i}.id, CASE WHEN v{i}.b%2={odd} THEN 7 ELSE 3 END lv, nr, lo, sp FROM v{i} JOIN k{i} USING (vec_id, b), o{i}),
+j{i} AS (SELECT *, floor(least(greatest((ln(nr)-lo)/sp,0),1-1e-12)*lv)+1 cd FROM h{i}),
+u{i + 1} AS (SELECT vec_id, b, list_transform(range(1,9), lambda k: x[k]-cb.c[k]*exp(lo+(cd-0.5)/lv*sp)) x FROM j{i} JOIN cb ON cb.id=j{i}.id)"""
+
+
+def _direction_full() -> str:
+    """Rotation and sketch as literals, block scales, four stages, sign sketch."""
+    model = DirectionCodec(64, 4, 2.5, use_sketch=True, sketch_rank=4).blank()
+    turn = model.rotate(np.eye(64))  # row vectors: y = v @ turn
+    sketch = model._parts()[1]
+    body = chain(
+        RAW, CODEBOOK, _matrix("tc", turn.T), _matrix("tr", turn), _matrix("sk", sketch),
+        "y AS (SELECT vec_id, list(list_dot_product(v,c) ORDER BY i) y FROM e, tc GROUP BY vec_id)",
+        "yb AS (SELECT vec_id, t.b::INT b, y[t.b*8+1:t.b*8+8] x FROM y, range(8) t(b))",
+        "tp AS (SELECT b, max(sqrt(list_dot_product(x,x))) top FROM yb GROUP BY b)",
+        "md AS (SELECT median(top) md FROM tp)",
+        "dv AS (SELECT md, greatest(median(abs(top-md)),1e-12)*1.4826 dv FROM tp, md GROUP BY md)",
+        "bs AS (SELECT b, CASE WHEN abs(top-md)/dv>4 THEN greatest(top/greatest(md+4*dv,1e-12),1) ELSE 1 END bs FROM tp, dv)",
+        "u0 AS (SELECT vec_id, b, list_transform(x, lambda t: t/bs) x FROM yb JOIN bs USING (b))",
+        *[_direction_chain(i, i) for i in range(4)],
+        "fl AS (SELECT vec_id, flatten(list(x ORDER BY b)) f FROM u4 GROUP BY vec_id)",
+        "sg AS (SELECT vec_id, list(CASE WHEN list_dot_product(f,c)>=0 THEN 1.0 ELSE -1.0 END ORDER BY i) g FROM fl, sk GROUP BY vec_id)",
+        "kl AS (SELECT list(c ORDER BY i) k FROM sk)",
+        "bx AS (SELECT vec_id, list_transform(range(1,65), lambda j: (g[1]*k[1][j]+g[2]*k[2][j]+g[3]*k[3][j]+g[4]*k[4][j])/2) bx FROM sg, kl)",
+        "gn AS (SELECT sum(list_dot_product(f,bx))/(sum(list_dot_product(bx,bx))+1e-12) gain FROM fl JOIN bx USING (vec_id))",
+        "lf AS (SELECT vec_id, list_transform(range(1,65), lambda j: f[j]-gain*bx[j]) lf FROM fl JOIN bx USING (vec_id), gn)",
+        "sl AS (SELECT list(bs ORDER BY b) sl FROM bs)",
+        "ds AS (SELECT vec_id, list_transform(range(64), lambda j: lf[j+1]*sl[j//8+1]) d FROM lf, sl)",
+        "dr AS (SELECT vec_id, list(list_dot_product(d,c) ORDER BY i) d FROM ds, tr GROUP BY vec_id)",
+        "rec AS (SELECT vec_id, list_transform(range(1,65), lambda k: v[k]-d[k]) r FROM e JOIN dr USING (vec_id))",
+    )
+    return "SELECT *, TRUE AS closed FROM (" + body.rstrip() + by_label("rec") + ")"
+
+
+def _crossover() -> str:
+    hot = chain(_robust(), CODEBOOK, HOT_START, *[_hot_stage(i, 0.95) for i in range(10)], signal(),
+                "dv AS (SELECT list(dev ORDER BY k) dv FROM mad)")
+    noise = "list_sum(list_transform(range(1,9), lambda k: (x[k]*dv[b*8+k])**2))"
+    parts = " UNION ALL ".join(
+        f"SELECT {s} s, 10*log10((SELECT sum(p) FROM sig)/(SELECT sum({noise}) FROM hr{s}, dv)) snr" for s in range(4, 11)
+    )
+    block = chain(blocks_block(), *[c for i in range(3) for c in (fitted_scale(i), stage(i))], signal())
+    dense = " UNION ALL ".join(
+        f"SELECT {s} s, 10*log10((SELECT sum(p) FROM sig)/(SELECT sum(m*m*list_dot_product(x,x)) FROM r{s})) snr" for s in (1, 2, 3)
+    )
+    return f"""WITH hot AS ({hot}{parts}), blk AS ({block}{dense}), tg AS (SELECT i/2.0::DOUBLE t FROM range(8,21) u(i)),
+pr AS (SELECT t, h.snr hs, CASE WHEN floor((t-4)/1.5)>0 THEN b.snr ELSE 0.5 END bsn FROM tg JOIN hot h ON h.s=floor(t) LEFT JOIN blk b ON b.s=least(floor((t-4)/1.5),3))
+SELECT t::DOUBLE target_bpd, round(greatest(hs,bsn),4) snr_db, CASE WHEN hs>bsn THEN 'hotblock' ELSE 'block' END winner FROM pr"""
+
+
 EVENT_STATE = """
 lg AS (SELECT event_id seq, user_id, value, CASE event_type WHEN 'error' THEN 'forget' WHEN 'signup' THEN 'update' ELSE 'store' END op FROM events),
 sl AS (SELECT *, CASE WHEN op='store' THEN (sum(CASE WHEN op='store' THEN 1 ELSE 0 END) OVER (ORDER BY seq) - 1) % 64 ELSE user_id % 64 END::BIGINT slot FROM lg),
@@ -388,6 +499,9 @@ SELECT chunk_id, round(CASE WHEN abs(top-md)/dv>4 THEN greatest(top/greatest(md+
         ).rstrip() + by_label("rec"),
         "scalar_codec": chain(SCALAR3).rstrip() + by_label("rec", "noise/n + 1e-12"),
         "graph_codec": _graph_codec(),
+        "rotated_codec": _rotated(),
+        "direction_codec": _direction_full(),
+        "rate_crossover": _crossover(),
         "direction_codes": chain(_direction()) + "SELECT b chunk_id, code::INT code, count(*) n, sum(id)::BIGINT id_sum FROM dc GROUP BY b, code",
         "direction_tail_snr": chain(
             _direction(),
@@ -401,6 +515,7 @@ SELECT chunk_id, round(CASE WHEN abs(top-md)/dv>4 THEN greatest(top/greatest(md+
         "gain16_codec": _dense_rate(blocks_gain(16), 1.0),
         "sparse_codec": _budget_rate("sparse"),
         "dual_codec": _budget_rate("dual"),
+        "dual_codec_deep": _dual_deep(),
         "code_entropy": chain(blocks_gain(16), given_scale(0, 1.0), stage(0), code_entropy_of(1, "h0"))
         + "SELECT 0 AS stage, n::BIGINT n_codes, d n_distinct, round(h,6) entropy_bits FROM h0",
         "stage_residuals": chain(blocks_gain(16), fitted_scale(0), stage(0), fitted_scale(1), stage(1)) + " UNION ALL ".join(
