@@ -23,10 +23,12 @@ SHIP_BYTES = 64 << 20
 
 def _best(
     left: np.ndarray, right: np.ndarray, ids: np.ndarray, k: int, metric: str,
-    banned: np.ndarray | None = None,
+    banned: np.ndarray | None = None, floor: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best ``k`` rows of ``right`` per row of ``left``: (left row, right row, score).
 
+    ``floor`` is a score per left row below which nothing is of interest.
+
     Larger scores are nearer: inner product, or negative squared distance. Ties go to the
     smaller id. A matrix product finds candidates; distances of all candidates that could
     be among the best are then recomputed from differences at full precision.
@@ -39,11 +41,12 @@ def _best(
         slack = 1e-12 * (a[:, None] + (b.max() if len(b) else 0.0))
     if banned is not None:
         cross[banned] = -np.inf
-    if cross.shape[1] > k:
-        kth = -np.partition(-cross, k - 1, axis=1)[:, k - 1 : k]
-        rows, cols = np.nonzero((cross >= kth - slack) & (cross > -np.inf))
-    else:
-        rows, cols = np.nonzero(cross > -np.inf)
+    wanted = cross > -np.inf
+    if floor is not None:
+        wanted &= cross >= floor[:, None] - slack
+    elif cross.shape[1] > k:
+        wanted &= cross >= -np.partition(-cross, k - 1, axis=1)[:, k - 1 : k] - slack
+    rows, cols = np.nonzero(wanted)
     if metric == "l2":
         gap = left[rows] - right[cols]
         score = -np.einsum("ij,ij->i", gap, gap)
@@ -60,6 +63,27 @@ def _first_k(rows, cols, score, ids, n_rows: int, k: int):
     return rows[keep], cols[keep], score[keep]
 
 
+class _TopK:
+    """Running best ``k`` per query of one task, sorted by score, then id."""
+
+    def __init__(self, n: int, k: int):
+        self.scores = np.full((n, k), -np.inf)
+        self.ids = np.full((n, k), np.iinfo(np.int64).max)
+        self.k = k
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Merge candidates; only the queries that have any are touched."""
+        hit = np.unique(rows)
+        if not len(hit):
+            return
+        all_rows = np.concatenate([np.repeat(np.arange(len(hit)), self.k), np.searchsorted(hit, rows)])
+        all_ids = np.concatenate([self.ids[hit].reshape(-1), ids])
+        all_scores = np.concatenate([self.scores[hit].reshape(-1), scores])
+        r, at, s = _first_k(all_rows, np.arange(len(all_rows)), all_scores, all_ids, len(hit), self.k)
+        shape = (len(hit), self.k)  # every touched query still holds exactly k entries
+        self.ids[hit], self.scores[hit] = all_ids[at].reshape(shape), s.reshape(shape)
+
+
 def _ship(df: DataFrame, id_col: str, column: str, dim: int, limit: int | None, extra=()):
     """The table as (ids, matrix, arrow table) sorted by id, or None above ``limit`` rows."""
     rows = df.select(F.col(id_col).cast("bigint").alias(id_col), column, *extra)
@@ -145,7 +169,7 @@ def _scan(big, big_id, big_vec, shipped, k, dim, metric, same, small_is_query):
 
     def run(batches):
         s_ids, s_mat = shared.value
-        best = None  # per task: (query row, item id, score) of the best so far
+        top = _TopK(len(s_ids), k) if small_is_query else None
         for part in slices(batches, width):
             if not len(s_ids) or not part.num_rows:
                 continue
@@ -153,18 +177,15 @@ def _scan(big, big_id, big_vec, shipped, k, dim, metric, same, small_is_query):
             x = to_matrix(part.column("_v"), dim)
             same_id = b_ids[:, None] == s_ids[None, :] if same else None
             if small_is_query:
-                rows, cols, s = _best(s_mat, x, b_ids, k, metric, None if same_id is None else same_id.T)
-                new = (rows, b_ids[cols], s)
-                if best is not None:
-                    rows, i, s = (np.concatenate(z) for z in zip(best, new))
-                    rows, at, s = _first_k(rows, np.arange(len(rows)), s, i, len(s_ids), k)
-                    new = (rows, i[at], s)
-                best = new
+                banned = None if same_id is None else same_id.T
+                rows, cols, s = _best(s_mat, x, b_ids, k, metric, banned, top.scores[:, -1])
+                top.add(rows, b_ids[cols], s)
             else:
                 rows, cols, s = _best(x, s_mat, s_ids, k, metric, same_id)
                 yield out(b_ids[rows], s_ids[cols], s, ranks(rows))
-        if best is not None:
-            yield out(s_ids[best[0]], best[1], best[2], ranks(best[0]))
+        if top is not None and len(s_ids):
+            rows, cols = np.nonzero(top.scores > -np.inf)
+            yield out(s_ids[rows], top.ids[rows, cols], top.scores[rows, cols], cols + 1)
 
     rows = big.select(
         F.col(big_id).cast("bigint").alias("_id"), F.col(big_vec).cast("array<double>").alias("_v")
