@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecsnap.codecs.base import ModelBase, stable
+from vecsnap.functions.arrays import literal_vector
 from vecsnap.kernels.arrow import add_columns, lists, map_batches, nested_lists, to_matrix
 from vecsnap.kernels.lattice import best_codeword, e8_codebook, pad_to
 from vecsnap.operators.quantiles import exact_quantiles
@@ -36,12 +37,8 @@ def robust_scale(
     long = df.select(F.posexplode(column).alias("pos", "v"))
     center = {g[0]: q[0] for g, q in exact_quantiles(long, "v", [0.5], ["pos"], rows).items()}
     dims = len(center)
-    middle = F.array(*[F.lit(center[i]) for i in range(dims)])
-    away = df.select(
-        F.posexplode(
-            F.zip_with(F.col(column).cast("array<double>"), middle, lambda x, m: F.abs(x - m))
-        ).alias("pos", "v")
-    )
+    middle = literal_vector(center[i] for i in range(dims))
+    away = long.select("pos", F.abs(F.col("v") - F.get(middle, F.col("pos"))).alias("v"))
     spread = {g[0]: q[0] for g, q in exact_quantiles(away, "v", [0.5], ["pos"], rows).items()}
     return (
         tuple(center[i] for i in range(dims)),

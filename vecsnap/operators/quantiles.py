@@ -14,8 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Values one group may hold in a single aggregation buffer (8 MB of doubles).
+# Values of one group that may be sorted in one aggregation buffer (8 MB of doubles).
 BUFFER_VALUES = 1_000_000
+# Values of one group for Spark's ``percentile``, whose value map is slower and larger.
+PERCENTILE_VALUES = 50_000
 SKETCH_ACCURACY = 10_000
 _GRID = [i / 100 for i in range(101)]
 
@@ -37,7 +39,7 @@ def exact_quantiles(
     """
     by, probs = list(by), [float(p) for p in probs]
     df = df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    if max_rows is not None and max_rows <= buffer_values:
+    if max_rows is not None and max_rows <= min(buffer_values, PERCENTILE_VALUES):
         rows = df.groupBy(*by).agg(
             F.percentile("_v", probs).alias("__q"), F.count("_v").alias("__n"), F.avg("_v").alias("__m")
         )
@@ -102,6 +104,8 @@ def _select(df, probs, by, buffer_values):
         return left.join(F.broadcast(table.drop("_one") if by else table), on)
 
     ready = []
+    # A bracket holds about 2 * slack of the rows; the finer sketch is for those beyond the buffer.
+    finer = any((it["last"] + 1) * 2 * slack > buffer_values for it in open_items)
     while open_items:
         inside = F.col("_v").between(F.col("_lo"), F.col("_hi"))
         counts = (
@@ -112,7 +116,11 @@ def _select(df, probs, by, buffer_values):
                 F.count_if(inside).alias("__inside"),
                 F.max(F.when(inside, F.col("_v"))).alias("__top"),
                 F.min(F.when(F.col("_v") > F.col("_hi"), F.col("_v"))).alias("__above"),
-                F.percentile_approx(F.when(inside, F.col("_v")), _GRID, SKETCH_ACCURACY).alias("__g"),
+                (
+                    F.percentile_approx(F.when(inside, F.col("_v")), _GRID, SKETCH_ACCURACY)
+                    if finer
+                    else F.lit(None)
+                ).alias("__g"),
             )
             .collect()
         )
@@ -138,6 +146,8 @@ def _select(df, probs, by, buffer_values):
             elif inside_n <= buffer_values:
                 it["first"], it["second"] = it["k"] - below + 1, upper - below + 1
                 ready.append(it)
+            elif not finer:
+                still_open.append(it)
             else:
                 it["outer"] = (it["lo"], it["hi"])
                 where = (it["k"] - below) / inside_n * 100
@@ -149,7 +159,7 @@ def _select(df, probs, by, buffer_values):
                     hi = lo + (hi - lo) / 2
                 it["lo"], it["hi"] = lo, hi
                 still_open.append(it)
-        open_items = still_open
+        open_items, finer = still_open, True
 
     if ready:
         picked = (

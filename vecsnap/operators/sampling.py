@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,21 +17,21 @@ def hash_order(id_col: str, seed: int) -> Column:
 def hash_sample(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame:
     """The ``n`` rows with the smallest hash: a seeded sample without replacement.
 
-    A hash cut-off keeps about ``n`` rows before the ordered limit, so the merge of
-    per-task candidates does not grow with the number of partitions.
+    One pass counts the rows by bit length of the hash. The shortest length that
+    leaves at least ``n`` rows cuts the table to at most a few times ``n`` before the
+    ordered limit, so its merge does not grow with the number of partitions.
     """
-    total = df.count()
-    if total <= n:
+    key = hash_order(id_col, seed)
+    bits = F.length(F.bin(F.conv(F.substring(key, 1, 12), 16, 10).cast("bigint")))
+    sizes = df.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n")).orderBy("bits").collect()
+    if sum(r["n"] for r in sizes) <= n:
         return df
-    keyed = df.withColumn("_h", hash_order(id_col, seed))
-    share = (n + 8 * math.sqrt(n) + 16) / total
-    while share < 0.5:
-        kept = keyed.where(F.col("_h") < f"{int(share * 16**12):012x}")
-        if kept.count() >= n:
-            keyed = kept
+    kept = 0
+    for r in sizes:
+        kept += r["n"]
+        if kept >= n:
             break
-        share *= 2
-    return keyed.orderBy("_h", id_col).limit(n).drop("_h")
+    return df.where(bits <= r["bits"]).orderBy(key, id_col).limit(n)
 
 
 def hash_shuffle(df: DataFrame, id_col: str, seed: int = 42) -> DataFrame:

@@ -109,6 +109,7 @@ def nearest(
     metric: str = "l2",
     skip_same_id: bool = False,
     ship_bytes: int = SHIP_BYTES,
+    few_queries: bool = False,
 ) -> DataFrame:
     """Exact top-``k`` items per query: ``(query_id, item_id, score, rank)``.
 
@@ -116,12 +117,13 @@ def nearest(
     Few items: they are shipped and every query is answered where it lies, without a
     shuffle. Few queries: they are shipped, each task keeps k per query over all its
     items, and those are merged. Otherwise the smaller table goes block by block.
+    ``few_queries`` tries to ship the queries only.
     """
     limit = max(1, ship_bytes // (8 * dim))
     q_side = (queries, query_id, query_vec)
     i_side = (items, item_id, item_vec)
     common = (k, dim, metric, skip_same_id)
-    shipped = _ship(*i_side, dim, limit)
+    shipped = None if few_queries else _ship(*i_side, dim, limit)
     if shipped is not None:
         found = _scan(*q_side, shipped, *common, small_is_query=False)
         return _named(found, query_id, item_id, metric)
@@ -198,13 +200,19 @@ def recall_at_k(
     id_col: str = "vec_id", seed: int = 1,
 ) -> DataFrame:
     """Share of sampled queries whose true nearest vector is in the rebuilt top-k."""
+    spark = df.sparkSession
     n = df.count()
     if n <= 1:
-        return df.sparkSession.createDataFrame([(0, 0.0)], "n_queries bigint, recall double")
+        return spark.createDataFrame([(0, 0.0)], "n_queries bigint, recall double")
     picked = hash_sample(df, id_col, min(n_queries, n), seed).select(
-        F.col(id_col).alias("q_id"), F.col(original).alias("q_true"), F.col(rebuilt).alias("q_hat")
+        F.col(id_col).cast("bigint").alias("q_id"),
+        F.col(original).cast("array<double>").alias("q_true"),
+        F.col(rebuilt).cast("array<double>").alias("q_hat"),
     )
-    same = dict(dim=dim, item_id=id_col, skip_same_id=True)
+    if n_queries * dim * 16 <= SHIP_BYTES:
+        # A bounded query set is fetched once and used by both searches.
+        picked = spark.createDataFrame(picked.toArrow(), picked.schema)
+    same = dict(dim=dim, item_id=id_col, skip_same_id=True, few_queries=True)
     truth = nearest(picked, df, 1, query_vec="q_true", item_vec=original, **same)
     found = nearest(picked, df, min(k, n - 1), query_vec="q_hat", item_vec=rebuilt, **same)
     hit = truth.select("q_id", id_col).join(
