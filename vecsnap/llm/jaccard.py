@@ -207,12 +207,16 @@ def _divide(large: DataFrame, limit: int, level: int) -> tuple[DataFrame, DataFr
     chunks = F.ceil(2 * F.col("size") / limit).cast("int")
     # About 2 * PIVOTS pivots per region, by hash, whatever its size.
     pivots = large.where(uniform(seed, F.col("node")) * F.col("size") < 2 * PIVOTS)
-    pivots = pivots.withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    pivots = pivots.select(
+        F.col("region").alias("p_region"), F.col("node").alias("p_node"), F.col("shingles").alias("p_shingles"),
+        F.explode(F.sequence(F.lit(0), chunks - 1)).alias("p_chunk"),
+    )
     texts = large.withColumn("chunk", F.pmod(F.xxhash64(seed, "node"), chunks).cast("int"))
 
     def run(texts: pa.Table, pivots: pa.Table) -> pa.Table:
-        sets = [np.asarray(x).view(np.uint64) for t in (pivots, texts) for x in t["shingles"].to_numpy()]
-        names = np.r_[pivots["node"].to_numpy(), texts["node"].to_numpy()] if len(sets) else np.zeros(0, dtype=np.int64)
+        lists = [*pivots["p_shingles"].to_numpy(), *texts["shingles"].to_numpy()]
+        sets = [np.asarray(x).view(np.uint64) for x in lists]
+        names = pivots["p_node"].to_numpy()
         p, n = len(pivots), len(texts)
         kids, near = [[0]] * n, [[]] * n
         if p and n:
@@ -224,14 +228,14 @@ def _divide(large: DataFrame, limit: int, level: int) -> tuple[DataFrame, DataFr
             inside = distance <= distance.min(axis=0) + 2 * (1 - PERCENT / 100) + 1e-9
             links = 100 * inter >= PERCENT * joint
             # A pivot is named by its node, so all chunks name the cells alike.
-            kids = [names[:p][inside[:, j]].tolist() for j in range(n)]
-            near = [names[:p][links[:, j]].tolist() for j in range(n)]
-        lists = lambda x: pa.array(x, pa.list_(pa.int64()))
-        return pa.table({"region": texts["region"], "node": texts["node"], "kids": lists(kids), "near": lists(near)})
+            kids = [names[inside[:, j]].tolist() for j in range(n)]
+            near = [names[links[:, j]].tolist() for j in range(n)]
+        kids, near = (pa.array(x, pa.list_(pa.int64())) for x in (kids, near))
+        return pa.table({"region": texts["region"], "node": texts["node"], "kids": kids, "near": near})
 
     placed = stored(
         texts.groupBy("region", "chunk")
-        .cogroup(pivots.groupBy("region", "chunk"))
+        .cogroup(pivots.groupBy("p_region", "p_chunk"))
         .applyInArrow(run, "region long, node long, kids array<long>, near array<long>"),
         "placed",
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsnap.llm import exact, mixing, pieces, quality, secrets, sharding, tokencount
+from vecsnap.llm import exact, jaccard, licenses, mixing, pieces, quality, secrets, sharding, tokencount
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -27,6 +27,17 @@ def op1_mix_sources(spark, sf):
     return rows.orderBy("first_position", "doc_id")
 
 
+def op2_jaccard(spark, sf):
+    """Component of every document under links of 0.8 between sets of five-word shingles."""
+    rows = jaccard.similar(documents(spark, sf).select("doc_id", "text"))
+    return rows.select("doc_id", "n_shingles", "component_id")
+
+
+def op3_licenses(spark, sf):
+    """License statements of every document with their wording differences."""
+    return licenses.scan(documents(spark, sf))
+
+
 def op4_shards(spark, sf):
     """24 shards of near equal bytes."""
     return sharding.shard(documents(spark, sf), 24)
@@ -62,6 +73,8 @@ def op10_quality(spark, sf):
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_jaccard": op2_jaccard,
+    "op3_licenses": op3_licenses,
     "op4_shards": op4_shards,
     "op5_token_counts": op5_token_counts,
     "op7_exact_dedup": op7_exact_dedup,
