@@ -28,9 +28,12 @@ def exact_groups(docs: DataFrame, pieces: int | None = None) -> DataFrame:
     weighed = rows.select("doc_id", "_point", "text_sha256", (F.octet_length(whole()) + 64).alias("_bytes"))
     ranges = sample_ranges(weighed, "_point", "_bytes", row_hash, pieces or default_pieces(docs))
 
-    spread = ranges.assign(rows, "_point", row_hash).repartition("_range", "_part")
+    placed = ranges.assign(rows, "_point", row_hash)
+    # One column for range and part, so the windows need no exchange of their own.
+    placed = placed.withColumn("_slice", F.col("_range") * F.lit(1 << 31) + F.col("_part"))
+    spread = placed.repartition("_slice").withColumn("_body", whole())
     # Window groups are runs of neighbours whose whole texts are equal, in the order of the sort.
-    run = Window.partitionBy("_range", "_part", "text_sha256", whole()).orderBy(F.col("doc_id").desc_nulls_last())
+    run = Window.partitionBy("_slice", "text_sha256", "_body").orderBy(F.col("doc_id").desc_nulls_last())
     all_rows = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     runs = (
         spread.withColumn("keep_id", F.max("doc_id").over(all_rows))
@@ -38,11 +41,11 @@ def exact_groups(docs: DataFrame, pieces: int | None = None) -> DataFrame:
         .withColumn("_first", F.row_number().over(run) == 1)
     )
     if not ranges.hot:
-        return runs.withColumnRenamed("_first", "kept").drop("_point", "_range", "_part")
+        return runs.withColumnRenamed("_first", "kept").drop("_point", "_range", "_part", "_slice", "_body")
     # The parts of the few subdivided contents (fewer than ranges) are put together.
     split = docs.sparkSession.createDataFrame([(v,) for v in sorted(ranges.hot)], "_point double")
     heads = (
-        spread.select("doc_id", "text_sha256", "_point", "_part")
+        placed.select("doc_id", "text_sha256", "_point", "_part")
         .join(F.broadcast(split), "_point")
         .groupBy("text_sha256", "_part")
         .agg(F.max("doc_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
@@ -59,5 +62,5 @@ def exact_groups(docs: DataFrame, pieces: int | None = None) -> DataFrame:
         merged.withColumn("kept", F.col("_first") & (single | (F.col("_part") == F.col("_home"))))
         .withColumn("keep_id", F.when(single, F.col("keep_id")).otherwise(F.col("_keep")))
         .withColumn("group_size", F.when(single, F.col("group_size")).otherwise(F.col("_size")))
-        .drop("_first", "_sha", "_keep", "_size", "_home", "_point", "_range", "_part")
+        .drop("_first", "_sha", "_keep", "_size", "_home", "_point", "_range", "_part", "_slice", "_body")
     )
