@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsnap.llm import exact, jaccard, licenses, mixing, pieces, quality, secrets, sharding, tokencount
+from vecsnap.llm import exact, jaccard, licenses, mixing, pieces, quality, secrets, sharding, substrings, tokencount
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -48,6 +48,11 @@ def op5_token_counts(spark, sf):
     return tokencount.count_tokens(documents(spark, sf), model_path())
 
 
+def op6_substrings(spark, sf):
+    """Passages of 50 words and more that repeat across documents."""
+    return substrings.repeated_passages(documents(spark, sf).select("doc_id", "text"))
+
+
 def op7_exact_dedup(spark, sf):
     """Groups of equal texts; the largest id stays."""
     rows = exact.exact_groups(documents(spark, sf).select("doc_id", "text"))
@@ -77,6 +82,7 @@ QUERIES = {
     "op3_licenses": op3_licenses,
     "op4_shards": op4_shards,
     "op5_token_counts": op5_token_counts,
+    "op6_substrings": op6_substrings,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_secrets": op8_secrets,
     "op9_piece_codec": op9_piece_codec,
