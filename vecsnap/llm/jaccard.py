@@ -36,8 +36,11 @@ from vecsnap.llm.shingles import mix, shingle_sets
 PERCENT = 80
 REGION_DOCS = 4096
 PIVOTS = 16
-# Cells of the rough shingle counts that order the shingles; the order never changes a result.
-CELLS = 1 << 22
+# Bits of the tables that order the shingles (16 and 4 MB); the order never changes a result.
+MAP_BITS = 27
+LEVEL_BITS = 22
+# Shingles a task gathers before it deals them out.
+FLUSH = 2_000_000
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -100,44 +103,73 @@ class Region:
                 self.against(x, rest)
 
 
-def _rough_counts(docs: DataFrame) -> np.ndarray:
-    """Order level of every cell: 0 for most, higher where a task saw a shingle often.
+def _shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """A bitmap of shingles that more than one row holds, and rough levels of their frequency.
 
-    Only cells far above a task's mean are summed; there are at most ``CELLS`` of them.
+    Every row's distinct shingles go, as 32-bit prefixes of their hashes, to the task of their
+    range; each task returns its slice of both tables, 20 MB in all whatever the input. A clear
+    bit proves a shingle to be held once; a set one may be wrong, which costs time only.
     """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(LEVEL_BITS, max(6, (4 * partitions - 1).bit_length()))
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, waiting = [], 0
+
+        def flush() -> pa.RecordBatch:
+            values = np.sort(np.concatenate(held) if held else np.zeros(0, dtype=np.uint32))
+            cuts = np.searchsorted(values >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
+            used = np.flatnonzero(np.diff(cuts))
+            blobs = [values[cuts[k] : cuts[k + 1]].tobytes() for k in used.tolist()]
+            return pa.RecordBatch.from_pydict({"slice": pa.array(used, pa.int32()), "held": pa.array(blobs, pa.binary())})
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, held, waiting = np.zeros(CELLS, dtype=np.int64), [], 0
         for batch in batches:
             for _, s in shingle_sets(batch.column("text")):
-                held.append(s)
+                held.append((s >> np.uint64(32)).astype(np.uint32))
                 waiting += len(s)
-                if waiting > CELLS:
-                    cells += np.bincount((np.concatenate(held) % CELLS).astype(np.int64), minlength=CELLS)
+                if waiting > FLUSH:
+                    yield flush()
                     held, waiting = [], 0
-        if held:
-            cells += np.bincount((np.concatenate(held) % CELLS).astype(np.int64), minlength=CELLS)
-        mean = cells.mean()
-        high = np.flatnonzero(cells > mean + 6 * np.sqrt(mean) + 4)
-        yield pa.RecordBatch.from_pydict({"cell": pa.array(high, pa.int64()), "n": pa.array(cells[high], pa.int64())})
-
-    rows = docs.select(whole().alias("text")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    level = np.zeros(CELLS, dtype=np.uint8)
-    found = rows.toArrow()
-    if found.num_rows:
-        n = found["n"].to_numpy().astype(np.float64)
-        level[found["cell"].to_numpy()] = 1 + np.minimum(np.log2(n) * 1.5, 60).astype(np.uint8)
-    return level
-
-
-def shingle_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
-    """Per row: doc_id, text key, set size, set signature, and the rarest shingles of the set."""
-    shared = docs.sparkSession.sparkContext.broadcast(level)
+        yield flush()
+
+    def count(group: pa.Table) -> pa.Table:
+        number = group["slice"][0].as_py()
+        values = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in group["held"]]))
+        first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
+        n = np.diff(np.r_[first, len(values)])
+        values, n = values[first][n > 1], n[n > 1]
+        cell = (values >> np.uint32(32 - MAP_BITS)).astype(np.int64) - (number << (MAP_BITS - bits))
+        seen = np.zeros(1 << (MAP_BITS - bits), dtype=bool)
+        seen[cell] = True
+        level = np.zeros(1 << (LEVEL_BITS - bits), dtype=np.uint8)
+        often = n >= 16
+        place = (values[often] >> np.uint32(32 - LEVEL_BITS)).astype(np.int64) - (number << (LEVEL_BITS - bits))
+        np.maximum.at(level, place, np.minimum(np.log2(n[often]) * 1.5, 60).astype(np.uint8))
+        packed = [pa.array([x.tobytes()], pa.binary()) for x in (np.packbits(seen), level)]
+        return pa.table([pa.array([number], pa.int32()), *packed], names=["slice", "map", "level"])
+
+    rows = docs.select(whole().alias("text")).mapInArrow(deal, "slice int, held binary")
+    slices = rows.groupBy("slice").applyInArrow(count, "slice int, map binary, level binary").collect()
+    bitmap = np.zeros((1 << MAP_BITS) // 8, dtype=np.uint8)
+    level = np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
+    for r in slices:
+        for table, part in ((bitmap, r["map"]), (level, r["level"])):
+            width = len(table) >> bits
+            table[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(part, dtype=np.uint8)
+    return bitmap, level
+
+
+def shingle_rows(docs: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """Per row: doc_id, text key, set size, set signature, and its pivots.
+
+    Pivots are the rarest shingles of the set, less those that no other row holds.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        level = shared.value
+        bitmap, level = shared.value
         for batch in batches:
             sizes = np.zeros(len(batch), dtype=np.int64)
             names = np.zeros(len(batch), dtype=np.int64)
@@ -148,9 +180,13 @@ def shingle_rows(docs: DataFrame, level: np.ndarray) -> DataFrame:
                 if not n:
                     prefixes.append(s)
                     continue
-                key = (level[(s % CELLS).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (s >> np.uint64(6))
+                cell = s >> np.uint64(64 - MAP_BITS)
+                held = bitmap[(cell >> np.uint64(3)).astype(np.int64)] >> (7 - (cell & np.uint64(7))).astype(np.uint8) & 1
+                rank = held * (1 + level[(s >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)])
+                key = (rank.astype(np.uint64) << np.uint64(58)) | (mix(s) >> np.uint64(6))
                 count = n - -(-PERCENT * n // 100) + 1
-                prefixes.append(s[np.argpartition(key, count - 1)[:count]] if count < n else s)
+                chosen = np.argpartition(key, count - 1)[:count] if count < n else np.arange(n)
+                prefixes.append(s[chosen[held[chosen] > 0]])
             cuts = np.r_[0, np.cumsum([len(p) for p in prefixes])].astype(np.int32)
             flat = np.concatenate(prefixes).view(np.int64) if prefixes else np.zeros(0, dtype=np.int64)
             columns = {
@@ -273,7 +309,7 @@ def _divide(large: DataFrame, limit: int, level: int) -> tuple[DataFrame, DataFr
 
 def similar(docs: DataFrame, region_docs: int = REGION_DOCS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id, text_key."""
-    rows = stored(shingle_rows(docs, _rough_counts(docs)), "shingles")
+    rows = stored(shingle_rows(docs, _shared_shingles(docs)), "shingles")
     sets = rows.where("n > 0")
     # Equal sets are one node; the arrays of copies meet in the map side of the aggregation.
     nodes = sets.groupBy("node").agg(F.first("prefix").alias("prefix"))
