@@ -336,3 +336,19 @@ def test_entropy_of_repeated_codes(spark):
     assert got[1]["entropy_bits"] == 0.0
     sizes = entropy.cache_gigabytes(spark.createDataFrame([(10_000_000,)], "n bigint"), "n").first()
     assert sizes["fp16_gb"] == pytest.approx(1220.70, abs=0.01) and sizes["saving_pct"] == pytest.approx(86.25)
+
+
+def test_running_totals_keep_null_values(spark):
+    rows = [(i, None if i in (0, 50, 51, 52, 99) else 1.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "seq int, v double")
+    many = running_totals(df, "seq", {"t": F.col("v")}, buckets=50)
+    one = running_totals(df, "seq", {"t": F.col("v")}, small_rows=100)
+    assert sorted(many.collect()) == sorted(one.collect())
+
+
+def test_order_statistic_of_large_ids(spark):
+    base = 1 << 60
+    df = spark.range(300).select((F.col("id") + base).alias("id"))
+    assert [order_statistic(df, "id", k) for k in (1, 60, 300)] == [base, base + 59, base + 299]
+    signed = spark.range(300).select((F.col("id") * (1 << 33) - (1 << 40)).alias("id"))
+    assert order_statistic(signed, "id", 7) == 6 * (1 << 33) - (1 << 40)

@@ -179,7 +179,17 @@ def _select(df, probs, by, buffer_values):
 
 
 def order_statistic(df: DataFrame, value: str, rank: int, max_rows: int | None = None) -> float:
-    """Exact ``rank``-th smallest value (1-based), found without sorting the table."""
+    """Exact ``rank``-th smallest value (1-based), found without sorting the table.
+
+    Whole numbers are found by their upper and then their lower 32 bits, which doubles hold exactly.
+    """
+    if df.schema[value].dataType.typeName() == "long":
+        halves = df.select(F.shiftright(value, 32).alias("_high"), F.col(value).bitwiseAND((1 << 32) - 1).alias("_low"))
+        halves = halves.where("_high IS NOT NULL").select(F.col("_high").cast("double"), F.col("_low").cast("double"))
+        high = order_statistic(halves, "_high", rank)
+        below = halves.where(F.col("_high") < high).count()
+        low = order_statistic(halves.where(F.col("_high") == high), "_low", rank - below)
+        return (int(high) << 32) | int(low)
     n = df.count() if max_rows is None else max_rows
     if n <= 1:
         return exact_quantiles(df, value, [0.0], max_rows=n)[()][0]

@@ -324,32 +324,29 @@ def score_fidelity(
     """Attention-score error: MSE of ``Q K'`` before and after, and the combined loss.
 
     ``combined = (1 - weight) * mse / var(K) + weight * qk_mse / var(Q K')`` with
-    population variances. The query block is size-checked and shipped.
+    population variances. The sums over all pairs follow from the ``d x d`` matrices of sums of
+    products of either side: ``sum (q.k)^2 = <Q'Q, K'K>``, so neither side is shipped or bounded.
     """
-    limit = SHIP_BYTES // (8 * dim)
-    if queries.count() > limit:
-        raise ValueError(f"score fidelity takes at most {limit} query vectors; sample them first")
-    q = np.stack([np.asarray(r[0], float) for r in queries.select(query_vec).collect()])
-    shared = df.sparkSession.sparkContext.broadcast(q)
-
-    def kernel(batch: pa.RecordBatch):
-        k, r = to_matrix(batch.column(original), dim), to_matrix(batch.column(rebuilt), dim)
-        before, after = k @ shared.value.T, r @ shared.value.T
-        sums = [before.size, before.sum(), np.square(before).sum(), np.square(before - after).sum()]
-        sums += [k.size, k.sum(), np.square(k).sum(), np.square(k - r).sum()]
-        return {f"c{i}": pa.array([float(v)]) for i, v in enumerate(sums)}
-
-    ddl = ", ".join(f"c{i} double" for i in range(8))
-    rows = map_batches(df.select(original, rebuilt), kernel, ddl, max(dim, len(q)))
-    c = [F.sum(f"c{i}") for i in range(8)]
-    sums = rows.agg(*[c[i].alias(f"c{i}") for i in range(8)])
-
-    def var(n, s, ss):
-        return F.col(ss) / F.col(n) - (F.col(s) / F.col(n)) ** 2
-
-    return sums.select(
-        (F.col("c7") / F.col("c4")).alias("mse"),
-        (F.col("c3") / F.col("c0")).alias("qk_mse"),
-        (F.col("c7") / F.col("c4") / (var("c4", "c5", "c6") + 1e-12)).alias("mse_norm"),
-        (F.col("c3") / F.col("c0") / (var("c0", "c1", "c2") + 1e-12)).alias("qk_mse_norm"),
-    ).withColumn("combined", (1 - weight) * F.col("mse_norm") + weight * F.col("qk_mse_norm"))
+    from vecsnap.operators.subspace import sum_matrices
+
+    def moments(x: np.ndarray) -> np.ndarray:
+        x = np.c_[x, np.ones(len(x))]
+        return x.T @ x
+
+    shape = (dim + 1, dim + 1)
+    off = df.select(F.zip_with(F.col(original).cast("array<double>"), F.col(rebuilt).cast("array<double>"),
+                               lambda k, r: k - r).alias("_off"))
+    q, k, e = (
+        sum_matrices(table, column, dim, shape, moments)
+        for table, column in ((queries, query_vec), (df, original), (off, "_off"))
+    )
+    qq, n_q, kk, n_k, ee = q[:dim, :dim], q[dim, dim], k[:dim, :dim], k[dim, dim], e[:dim, :dim]
+    pairs, cells = n_q * n_k, n_k * dim
+    if not pairs:
+        raise ValueError("score fidelity needs queries and keys")
+    mse, qk_mse = float(np.trace(ee)) / cells, float((qq * ee).sum()) / pairs
+    k_var = float(np.trace(kk)) / cells - (float(k[dim, :dim].sum()) / cells) ** 2
+    qk_var = float((qq * kk).sum()) / pairs - (float(q[dim, :dim] @ k[dim, :dim]) / pairs) ** 2
+    row = [tuple(map(float, (mse, qk_mse, mse / (k_var + 1e-12), qk_mse / (qk_var + 1e-12))))]
+    out = df.sparkSession.createDataFrame(row, "mse double, qk_mse double, mse_norm double, qk_mse_norm double")
+    return out.withColumn("combined", (1 - weight) * F.col("mse_norm") + weight * F.col("qk_mse_norm"))

@@ -193,7 +193,8 @@ def crossover(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
 
 
 def winners(results: DataFrame, by: str = "target_bpd") -> DataFrame:
-    best = F.max_by("version", F.struct("snr_db", "version")).alias("winner")
+    # Of equal versions the block codec wins: the other one must be strictly better.
+    best = F.min_by("version", F.struct(-F.col("snr_db"), "version")).alias("winner")
     return results.groupBy(by).agg(F.max("snr_db").alias("snr_db"), best)
 
 

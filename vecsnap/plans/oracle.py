@@ -126,7 +126,7 @@ ml AS (SELECT label, t.k::INT k, avg(v[t.k]) a FROM e, range(1,65) t(k) GROUP BY
 probes AS (SELECT label::BIGINT q_id, list(a ORDER BY k) q FROM ml GROUP BY label)"""
 
 MEMBERS = "m AS (SELECT DISTINCT l_orderkey s, l_partkey x FROM lineitem)"
-GRAPH = """ed AS (SELECT DISTINCT least(l_partkey,l_suppkey) a, greatest(l_partkey,l_suppkey) b FROM lineitem WHERE l_partkey<>l_suppkey),
+GRAPH = """ed AS (SELECT DISTINCT least(l_partkey,(-l_suppkey-1)) a, greatest(l_partkey,(-l_suppkey-1)) b FROM lineitem WHERE l_partkey<>(-l_suppkey-1)),
 lk AS (SELECT a v, b w FROM ed UNION ALL SELECT b, a FROM ed)"""
 
 

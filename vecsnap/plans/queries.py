@@ -542,7 +542,9 @@ def order_codewords(spark, sf):
 
 
 def _trade_graph(spark, sf):
-    return graph.undirected(table(spark, sf, "lineitem", "l_partkey", "l_suppkey"), "l_partkey", "l_suppkey")
+    # Suppliers become negative numbers, so that no part and supplier share a vertex.
+    lines = table(spark, sf, "lineitem", "l_partkey", "l_suppkey").withColumn("l_suppkey", -F.col("l_suppkey") - 1)
+    return graph.undirected(lines, "l_partkey", "l_suppkey")
 
 
 def common_neighbours(spark, sf):
