@@ -27,6 +27,7 @@ from vecsnap.operators.entropy import code_entropy, rotated_bpd
 from vecsnap.operators.metrics import row_errors, snr_db, status, summarize
 from vecsnap.operators.sampling import hash_sample
 from vecsnap.operators.search import recall_at_k
+from vecsnap.operators.subspace import sum_matrices
 
 
 def prefix_models(model: ModelBase) -> dict[int, ModelBase]:
@@ -240,13 +241,13 @@ def rate_grid(needs: DataFrame, max_stages: int = 4) -> DataFrame:
 def search_rate(
     train: DataFrame, calibration: DataFrame, dim: int, target_bpd: float, role: str = "key",
     queries: DataFrame | None = None, qk_weight: float = 0.5, handle_outliers: bool = True,
-    max_stages: int = 4, fit_samples: int = 1024, search_samples: int = 256, seed: int = 42,
+    max_stages: int = 4, fit_samples: int | None = None, search_samples: int | None = None, seed: int = 42,
     column: str = "embedding", id_col: str = "vec_id",
 ) -> tuple[DirectionModel, DataFrame]:
     """Best direction codec at a rate, and the ranked table of all feasible ones.
 
-    All configurations are fitted together (one job per stage) on one bounded sample and
-    scored together in one job on another; ranking is score, then closure error.
+    All configurations are fitted together (one job per stage) and scored together in one job,
+    on all rows or on samples of the given sizes; ranking is score, then closure error.
     """
     spark = train.sparkSession
     if role not in ("key", "value", "plain"):
@@ -268,13 +269,21 @@ def search_rate(
             if m.reflections not in found:
                 found[m.reflections] = outlier_scales(m, train, column)
         models = [dataclasses.replace(m, block_scales=found[m.reflections]) for m in models]
-    sample = hash_sample(train.select(id_col, column), id_col, fit_samples, seed)
-    models = fit_grid(models, sample, column, fit_samples)
-    judged = hash_sample(calibration.select(id_col, column), id_col, search_samples, seed)
+
+    def rows_of(df: DataFrame, n: int | None) -> DataFrame:
+        rows = df.select(id_col, column)
+        return rows if n is None else hash_sample(rows, id_col, n, seed)
+
+    models = fit_grid(models, rows_of(train, fit_samples), column, fit_samples)
+    judged = rows_of(calibration, search_samples)
     q = None
     if queries is not None and role == "key":
-        picked = hash_sample(queries.select(id_col, column), id_col, search_samples, seed)
-        q = np.array([r[column] for r in picked.select(column).collect()], float)
+        # Scores of all pairs are summed from the queries' count, sum and products.
+        def moments(x: np.ndarray) -> np.ndarray:
+            x = np.c_[x, np.ones(len(x))]
+            return x.T @ x
+
+        q = sum_matrices(rows_of(queries, search_samples), column, dim, (dim + 1, dim + 1), moments)
 
     def fn(model, x):
         code = model._encode_matrix(x)
@@ -282,8 +291,9 @@ def search_rate(
         closure = np.abs(code["debug"] - model._decode_rotated(code)).max()
         sums = [x.size, x.sum(), np.square(x).sum(), np.square(gap).sum()]
         if q is not None:
-            before = x @ q.T
-            sums += [before.size, before.sum(), np.square(before).sum(), np.square(gap @ q.T).sum()]
+            products, total, n_q = q[:dim, :dim], q[dim, :dim], q[dim, dim]
+            squares = [np.einsum("ij,ij->", v @ products, v) for v in (x, gap)]
+            sums += [len(x) * n_q, x.sum(axis=0) @ total, *squares]
         else:
             sums += [0.0] * 4
         return {**{f"c{i}": np.array([float(v)]) for i, v in enumerate(sums)}, "closure": np.array([closure])}
@@ -336,7 +346,7 @@ def method_table(
     for rate in (2.75, 3.0):
         direction[f"direction {rate}"] = search_rate(train, test, dim, rate, "key", column=column)[0]
     direction["direction deep"] = DirectionCodec(
-        dim, 4, 2.5, use_sketch=True, sketch_rank=max(1, dim // 16), fit_samples=1024, handle_outliers=True
+        dim, 4, 2.5, use_sketch=True, sketch_rank=max(1, dim // 16), handle_outliers=True
     ).fit(train, column, id_col)
     hot1 = HotBlockCodec(dim, 1, 0.95).fit(train, column)
     hot2 = HotBlockCodec(dim, 2, 1.0).fit(train, column)
@@ -381,8 +391,7 @@ def dimension_sweep(
     for dim in dims:
         table = reshape_dim(df.select(id_col, column), dim, column)
         base = ScalarCodec(dim, 3).fit(table, column)
-        model, _ = search_rate(table, table, dim, target_bpd, "key", column=column, id_col=id_col,
-                               search_samples=192, seed=99 + dim)
+        model, _ = search_rate(table, table, dim, target_bpd, "key", column=column, id_col=id_col, seed=99 + dim)
         snr = config_snr({"base": base, "found": model}, table, column, dim)
         rows.append((dim, snr["base"], snr["found"], snr["found"] - snr["base"]))
     return df.sparkSession.createDataFrame(

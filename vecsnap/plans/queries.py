@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -475,7 +475,7 @@ def memory_retrieve(spark, sf):
 
 def memory_stream(spark, sf):
     """The event commands applied by a streaming query; equals the batch fold."""
-    root = tempfile.mkdtemp(prefix="memory-", dir=_scratch(spark))
+    root = _scratch(spark, "memory")
     log = _event_log(spark, sf)
     log.write.parquet(f"{root}/log")
     stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
@@ -489,14 +489,14 @@ def memory_stream(spark, sf):
     )
 
 
-def _scratch(spark: SparkSession) -> str:
-    folder = checkpoint_dir(spark)
-    return folder.removeprefix("file://").removeprefix("file:")
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one; Spark's writers create it, at any kind of path."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def encode_stream(spark, sf):
     """Vectors encoded online with a fixed model, then decoded; fidelity per label."""
-    root = tempfile.mkdtemp(prefix="encode-", dir=_scratch(spark))
+    root = _scratch(spark, "encode")
     source = emb(spark, sf).select("vec_id", "label", "embedding", F.col("embedding").alias("kept"))
     source.write.parquet(f"{root}/vectors")
     model = LayeredCodec("gain16", DIM).fixed([100.0])
