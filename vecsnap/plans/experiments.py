@@ -238,6 +238,10 @@ def rate_grid(needs: DataFrame, max_stages: int = 4) -> DataFrame:
     )
 
 
+class NoFeasibleRate(RuntimeError):
+    """No codec of the grid reaches the asked rate."""
+
+
 def search_rate(
     train: DataFrame, calibration: DataFrame, dim: int, target_bpd: float, role: str = "key",
     queries: DataFrame | None = None, qk_weight: float = 0.5, handle_outliers: bool = True,
@@ -255,7 +259,7 @@ def search_rate(
     need = spark.createDataFrame([(role, dim, float(target_bpd))], "role string, dim int, target_bpd double")
     grid = rate_grid(need, max_stages).orderBy("stages", "rotation", "sketch_rank").collect()
     if not grid:
-        raise RuntimeError(f"no valid codec for target_bpd={target_bpd}, role={role}")
+        raise NoFeasibleRate(f"no valid codec for target_bpd={target_bpd}, role={role}")
     models = [
         DirectionCodec(
             dim, g["stages"], g["norm_bits"], use_rotation=g["rotation"],
@@ -332,9 +336,9 @@ def search_ladder(*args, targets: Sequence[float] = (6.0, 5.0, 4.0, 3.5, 3.0), *
         try:
             model, ranked = search_rate(*args, target_bpd=target, **kwargs)
             return target, model, ranked
-        except RuntimeError:
+        except NoFeasibleRate:
             continue
-    raise RuntimeError("no target of the ladder is feasible")
+    raise NoFeasibleRate("no target of the ladder is feasible")
 
 
 def method_table(
