@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecsnap.llm import exact, jaccard, licenses, mixing, pieces, quality, secrets, sharding, substrings, tokencount
+from vecsnap.llm.oracle import oracle_sql  # noqa: F401
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,6 +90,3 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
