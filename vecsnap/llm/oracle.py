@@ -39,15 +39,18 @@ def _place(s: str) -> str:
 JACCARD = rf"""WITH RECURSIVE
 d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
         '[^\x20\x09-\x0D]+') w FROM documents),
-n AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w)-3), lambda i: array_to_string(w[i:i+4], ' '))) END s FROM d),
-g AS (SELECT doc_id, unnest(s) x FROM n),
-h AS (SELECT * FROM g WHERE x IN (SELECT x FROM g GROUP BY x HAVING count(*) > 1)),
-p AS (SELECT a.doc_id u, b.doc_id v, count(*) k FROM h a JOIN h b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
-l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100*k >= 80*(len(a.s)+len(b.s)-k)),
+t AS (SELECT doc_id, unnest(w) a, generate_subscripts(w, 1) i FROM d WHERE len(w) > 4),
+f AS (SELECT doc_id, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o, lead(a, 4) OVER o) x, lead(a, 4) OVER o z
+  FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS MATERIALIZED (SELECT DISTINCT doc_id, x FROM f WHERE z IS NOT NULL
+  UNION ALL SELECT doc_id, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4),
+n AS MATERIALIZED (SELECT doc_id, count(x) s FROM d LEFT JOIN g USING (doc_id) GROUP BY doc_id),
+h AS MATERIALIZED (SELECT * FROM g WHERE x IN (SELECT x FROM g GROUP BY x HAVING count(*) > 1)),
+p AS MATERIALIZED (SELECT a.doc_id u, b.doc_id v, count(*) k FROM h a JOIN h b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100*k >= 80*(a.s+b.s-k)),
 e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
 r(doc_id, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.v, r.root FROM r JOIN e ON r.doc_id = e.u)
-SELECT doc_id, len(s)::BIGINT n_shingles, component_id FROM n JOIN (SELECT doc_id, min(root) component_id FROM r GROUP BY 1) USING (doc_id)"""
+SELECT doc_id, s n_shingles, component_id FROM n JOIN (SELECT doc_id, min(root) component_id FROM r GROUP BY 1) USING (doc_id)"""
 
 EXACT = """WITH t AS (SELECT doc_id, coalesce(text,'') t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) keep_id, count(*) OVER (PARTITION BY t) group_size,
@@ -104,9 +107,11 @@ def _quality() -> str:
         return f"CASE WHEN ({x}) IS NULL THEN 0 WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
 
     return rf"""WITH RECURSIVE {DOCS},
-i AS (SELECT row_number() OVER () row, doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines FROM d),
-g AS (SELECT row, unnest(range(1, len(w)-1)) j, unnest(list_transform(range(1, len(w)-1), lambda j: array_to_string(w[j:j+2], ' '))) x FROM i),
-h AS (SELECT row, j FROM (SELECT *, count(*) OVER (PARTITION BY row, x) c FROM g) WHERE c > 1),
+i AS MATERIALIZED (SELECT row_number() OVER () row, doc_id, t, w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) lines FROM d),
+u AS (SELECT row, unnest(w) a, generate_subscripts(w, 1) j FROM i WHERE len(w) > 2),
+g AS (SELECT row, j, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o) x, lead(a, 2) OVER o z FROM u
+  WINDOW o AS (PARTITION BY row ORDER BY j)),
+h AS (SELECT row, j FROM (SELECT *, count(*) OVER (PARTITION BY row, x) c FROM g WHERE z IS NOT NULL) WHERE c > 1),
 k AS (SELECT row, count(DISTINCT j + o.o) n FROM h, range(3) o(o) GROUP BY row),
 f AS (SELECT row, doc_id, len(w)::BIGINT n_words, length(array_to_string(w, '')) word_chars,
   length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) n_symbols, len(lines) n_lines,
