@@ -79,7 +79,17 @@ def test_result_records(spark, tmp_path):
     df = results.read_results(spark, str(tmp_path / "r.json"))
     assert df.count() == 2 and df.agg(F.max("SNR")).first()[0] == 151.0
     results.write_results(df, f"{tmp_path}/out")
-    assert spark.read.json(f"{tmp_path}/out").select("PPL Delta").count() == 2
+    assert results.read_results(spark, f"{tmp_path}/out").count() == 2
+    # Lines of one file, an array with a record per line, and both in one folder.
+    results.write_results(df.coalesce(1), f"{tmp_path}/lines")
+    assert results.read_results(spark, f"{tmp_path}/lines").count() == 2
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "a.json").write_text("[" + ",\n".join(map(json.dumps, rows)) + "]")
+    (tmp_path / "mixed" / "b.json").write_text("[\n" + ",\n".join(map(json.dumps, rows)) + "\n]")
+    assert results.read_results(spark, f"{tmp_path}/mixed").count() == 4
+    (tmp_path / "mixed" / "c.json").write_text("\n".join(map(json.dumps, rows)))
+    with pytest.raises(ValueError):
+        results.read_results(spark, f"{tmp_path}/mixed")
 
 
 def test_encode_stream(spark, vectors, tmp_path):

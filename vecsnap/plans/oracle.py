@@ -60,8 +60,8 @@ r0 AS (SELECT vec_id, label, (i*{per}+t.j)::INT b, gs*ls m,
        FROM wl, range({per}) t(j))"""
 
 
-def fitted_scale(i: int) -> str:
-    return f"s{i} AS (SELECT 100.0/(sqrt(sum(list_dot_product(x,x))/(8*count(*)))+1e-15) s FROM r{i})"
+def fitted_scale(i: int, where: str = "TRUE") -> str:
+    return f"s{i} AS (SELECT 100.0/(sqrt(sum(list_dot_product(x,x))/(8*count(*)))+1e-15) s FROM r{i} WHERE {where})"
 
 
 def given_scale(i: int, value: float) -> str:
@@ -202,6 +202,79 @@ def _dense_rate(norm: str, meta: float) -> str:
     )
 
 
+def _sparse_batch() -> str:
+    """Scales and density from the even ids, cut-off, rate and fidelity of the odd ones."""
+    meta, even, odd = (32 + 8 * 4 + 8) / 64, "vec_id%2=0", "vec_id%2=1"
+    return (
+        chain(
+            blocks_gain(16), fitted_scale(0, even), stage(0), fitted_scale(1, even), stage(1),
+            code_entropy_of(1, "h0", even), code_entropy_of(2, "h1", even), code_entropy_of(1, "g0", odd),
+            f"den AS (SELECT least(1.0, (3.0-{meta}-h0.h/8)/(h1.h/8)) d FROM h0, h1)",
+            f"en AS (SELECT vec_id, b, list_dot_product(x,x)/8 en FROM r1 WHERE {odd})",
+            "pl AS (SELECT list(en ORDER BY en) l, (count(*)-1)*(1-max(d)) h FROM en, den)",
+            "cut AS (SELECT l[floor(h)::INT+1]+(l[floor(h)::INT+2]-l[floor(h)::INT+1])*(h-floor(h)) c FROM pl)",
+            "m2 AS (SELECT r2.*, en >= c hot FROM r2 JOIN en USING (vec_id, b), cut)",
+            """g1 AS (SELECT log2(sum(c)) - sum(c*log2(c))/sum(c) h, sum(c) n, count(*) d
+               FROM (SELECT q, count(*)::DOUBLE c FROM m2 WHERE hot GROUP BY q))""",
+            f"sig AS (SELECT sum(list_dot_product(v,v)) p FROM e WHERE {odd})",
+            "err AS (SELECT sum(m*m*CASE WHEN hot THEN list_dot_product(x,x) ELSE list_dot_product(x_before,x_before) END) noise FROM m2)",
+        )
+        + f"""SELECT {meta}::DOUBLE metadata_bpd, round((g0.h*g0.n+g1.h*g1.n)/(g0.n*8),6) code_bpd,
+  round({meta}+(g0.h*g0.n+g1.h*g1.n)/(g0.n*8),6) total_bpd, (g0.n+g1.n)::BIGINT n_codes, (g0.d+g1.d)::BIGINT n_distinct,
+  (g0.d+g1.d) > 0.5*(g0.n+g1.n) sample_limited, round(10*log10(p/noise),4) snr_db FROM g0, g1, sig, err"""
+    )
+
+
+def _dense_snr(kind: str, norm: str, n: int) -> str:
+    """``version, stages, n_vectors, snr_db`` of ``n`` dense stages."""
+    return chain(norm, *[c for i in range(n) for c in (fitted_scale(i), stage(i))], signal()) + f"""
+SELECT '{kind}' AS version, {n} stages, (SELECT count(*) FROM e) n_vectors,
+  10*log10((SELECT sum(p) FROM sig)/(SELECT sum(m*m*list_dot_product(x,x)) FROM r{n})) snr_db"""
+
+
+def _deep(kind: str, norm: str, most: int) -> str:
+    """As many of ``most`` stages as leave a mean square of 1e-15 before the next one."""
+    ms = [f"SELECT {i} i, sum(list_dot_product(x,x))/(8*count(*)) ms, sum(m*m*list_dot_product(x,x)) z FROM r{i}" for i in range(1, most + 1)]
+    return chain(
+        norm, *[c for i in range(most) for c in (fitted_scale(i), stage(i))], signal(), "ms AS (" + " UNION ALL ".join(ms) + ")",
+        f"st AS (SELECT coalesce(min(i) FILTER (ms < 1e-15), {most}) i FROM ms)",
+    ) + f"""
+SELECT '{kind}' AS version, i::INT stages, (SELECT count(*) FROM e) n_vectors, 10*log10((SELECT sum(p) FROM sig)/z) snr_db FROM ms JOIN st USING (i)"""
+
+
+def _rate_switch() -> str:
+    hot = chain(_robust(), CODEBOOK, HOT_START, *[_hot_stage(i, 0.95) for i in range(5)], signal(),
+                "dv AS (SELECT list(dev ORDER BY k) dv FROM mad)")
+    noise = "list_sum(list_transform(range(1,9), lambda k: (x[k]*dv[b*8+k])**2))"
+    parts = [f"""SELECT 5.0::DOUBLE target_bpd, 'hotblock' AS version, (SELECT count(*) FROM e) n_vectors,
+  10*log10((SELECT sum(p) FROM sig)/(SELECT sum({noise}) FROM hr5, dv)) snr_db"""]
+    parts[0] = hot + parts[0]
+    for target, n in ((5.5, 1), (7.0, 2)):
+        parts.append(f"SELECT {target}::DOUBLE target_bpd, version, n_vectors, snr_db FROM ({_dense_snr('block', blocks_block(), n)})")
+    every = " UNION ALL ".join(f"SELECT * FROM ({p})" for p in parts)
+    return f"SELECT target_bpd, version, n_vectors, round(snr_db,4) snr_db FROM ({every})"
+
+
+def _one_stage(scale: float, by: str = "label") -> str:
+    """Sums of errors of a gain16 stage: f(label, n_vectors, p, z, c, top)."""
+    return chain(
+        blocks_gain(16), given_scale(0, scale), stage(0), rebuild_from_residual(1).strip(),
+        """gg AS (SELECT label, list_dot_product(v,v) p, list_sum(list_transform(range(1,65), lambda k: (v[k]-r[k])*(v[k]-r[k]))) z,
+  list_dot_product(v,r)/((sqrt(list_dot_product(v,v))+1e-12)*(sqrt(list_dot_product(r,r))+1e-12)) c,
+  list_max(list_transform(range(1,65), lambda k: abs(v[k]-r[k]))) top FROM e JOIN rec USING (vec_id))""",
+        f"f AS (SELECT {by} AS label, count(*) n_vectors, sum(p) p, sum(z) z, avg(c) c, max(top) top FROM gg GROUP BY 1)",
+    )
+
+
+def _records() -> str:
+    def one(tier: str, scale: float) -> str:
+        return _one_stage(scale) + f"""SELECT 'label '||label AS "Model", 'gain16' AS "Version", '{tier}' AS "Tier",
+  3.0::DOUBLE AS "BPD", 10*log10(p/z) snr FROM f"""
+
+    return f"""SELECT "Model", "Version", "Tier", "BPD", round(snr,6) AS "SNR", CASE WHEN snr>100 THEN 'BIT EXACT' WHEN snr>20 THEN 'STABLE' ELSE 'N/A' END status,
+  NULL::DOUBLE base_ppl FROM (SELECT * FROM ({one('coarse', 1.0)}) UNION ALL SELECT * FROM ({one('fine', 100.0)}))"""
+
+
 def _e8_codes() -> str:
     return chain(blocks_raw("10.0"), given_scale(0, 1.0), stage(0)) + """
 SELECT vec_id, b chunk_id, array_to_string(list_transform(q, lambda k: (k*2)::BIGINT), ',') code FROM r1"""
@@ -607,6 +680,26 @@ FROM (SELECT len(embedding) dim, count(*) n FROM embeddings GROUP BY 1), (VALUES
         "ablation": _ablation(),
         "trial_summary": _trials(),
         "tier_pivot": _tiers(),
+        "stored_payload": chain(blocks_gain(16), given_scale(0, 100.0), stage(0), rebuild_from_residual(1)).rstrip()
+        + by_label("rec"),
+        "stored_codes": chain(blocks_gain(16), given_scale(0, 100.0), stage(0)) + """
+SELECT b chunk_id, round(sum(list_dot_product(y,y)),6) energy, round(sum(list_sum(y)),6) value_sum FROM
+(SELECT b, list_transform(q, lambda k: k/100.0) y FROM r1) GROUP BY b""",
+        "stored_cache": """SELECT label::INT AS layer, count(*) n_tokens, round(sum(embedding[1]::DOUBLE*pos),6) weighted,
+ (SELECT count(DISTINCT label) FROM embeddings WHERE label<5) num_layers, 'float32' dtype, 64::BIGINT dim
+FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) pos FROM embeddings WHERE label<5) GROUP BY label""",
+        "result_records": _records(),
+        "fidelity_report": _one_stage(100.0) + """SELECT label, n_vectors, round(z/(64*n_vectors),9) mse, round(10*log10(p/z),9) snr_db,
+ round(20*log10(sqrt(p)/sqrt(z)),9) norm_ratio_db, round(c,9) cosine, round(top,9) max_abs FROM f""",
+        "largest_difference": _one_stage(100.0, "0") + "SELECT round(top,9) max_abs FROM f",
+        "rate_switch": _rate_switch(),
+        "direction_rates": f"""SELECT label, round(64*count(*)*((8*(4*{LOG2_IDS!r}+10)+4)/64),3) effective_bits, round(64*count(*)*((8*(4*8+4*3)+4)/64),3) raw_bits,
+ round(64*count(*)*6.0::DOUBLE,3) rotated_bits FROM embeddings GROUP BY label""",
+        "first_words": """SELECT count(*) n_words, max(vec_id) last_id, round(sum(list_sum(embedding::DOUBLE[])),5) value_sum FROM (SELECT * FROM embeddings ORDER BY vec_id LIMIT 300)""",
+        "sparse_codec_batch": _sparse_batch(),
+        "deep_codecs": f"""SELECT version, stages, n_vectors, round(snr_db,2) snr_db FROM
+ (SELECT * FROM ({_deep('block', blocks_block(), 4)}) UNION ALL SELECT * FROM ({_deep('gain16', blocks_gain(16), 8)}))""",
+        "drift_stream": _one_stage(100.0, "0") + "SELECT 0 segment, n_vectors, round(10*log10(p/z),6) snr_db, round(c,6) cosine FROM f",
         "perplexity_delta": """WITH l AS (SELECT event_type AS model, CASE WHEN user_id%2=0 THEN 'base' ELSE 'coded' END variant, exp(avg(value/100)) ppl FROM events GROUP BY ALL)
 SELECT a.model, a.variant, round(a.ppl,6) ppl, round(b.ppl,6) base_ppl, round(a.ppl-b.ppl,6) ppl_delta FROM l a JOIN l b ON a.model=b.model AND b.variant='base'""",
     }

@@ -11,6 +11,7 @@ from vecsnap.codecs.direction import DirectionCodec, outlier_scales
 from vecsnap.codecs.graphcode import GraphCodec
 from vecsnap.codecs.hotblock import HotBlockCodec, robust_scale
 from vecsnap.codecs.layered import LayeredCodec, fit_stage_energies
+from vecsnap.codecs.layered import rate_switch as layered_switch
 from vecsnap.codecs.scalar import (
     BlockMeanModel, RotatedModel, ScalarCodec, row_standard_lattice, weight_table_lattice,
 )
@@ -742,6 +743,145 @@ def perplexity_delta(spark, sf):
     return rounded(metrics.perplexity_delta(losses, "model", "variant", "token_loss", "base"))
 
 
+# -- storage round trips and reports -----------------------------------------------------------------
+
+
+def stored_payload(spark, sf):
+    """Payload and model written to storage, read back and decoded; fidelity per label."""
+    root = _scratch(spark, "payload")
+    model = LayeredCodec("gain16", DIM).fixed([100.0])
+    kept = labelled(spark, sf).withColumn("kept", F.col("embedding"))
+    results.write_payload(model.encode(kept), f"{root}/codes")
+    results.save_model(spark, model, f"{root}/model")
+    again = results.load_model(spark, f"{root}/model")
+    rebuilt = again.decode(spark.read.parquet(f"{root}/codes")).withColumnRenamed("kept", "embedding")
+    return fidelity(metrics.row_errors(rebuilt), ["label"])
+
+
+def stored_codes(spark, sf):
+    """The long code table written by stage; a partial decode reads the first stage alone."""
+    root = _scratch(spark, "codes")
+    model = LayeredCodec("gain16", DIM).fixed([100.0, 30000.0])
+    results.write_code_table(results.code_table(model.encode(emb(spark, sf)), "vec_id", DIM // 8), root)
+    sums = results.sum_codes(spark.read.parquet(root).where("stage = 0"), "vec_id", (100.0, 30000.0))
+    return rounded(
+        sums.groupBy("chunk_id").agg(
+            F.sum(A.sum_squares("x")).alias("energy"), F.sum(A.total("x")).alias("value_sum")
+        )
+    )
+
+
+def stored_cache(spark, sf):
+    """Cache and description written and read again: the keys of every layer."""
+    root = _scratch(spark, "cache")
+    vectors.write_cache(vectors.cache_from_labels(emb(spark, sf)), root, "any", "none")
+    meta = vectors.read_cache_metadata(spark, root).select("num_layers", "dtype", F.col("keys_shape")[4].alias("dim"))
+    first = F.col("embedding")[0].cast("double")
+    keys = vectors.read_cache(spark, root, "key").groupBy(F.col("layer").cast("int").alias("layer")).agg(
+        F.count(F.lit(1)).alias("n_tokens"), F.sum(first * (F.col("pos") + 1)).alias("weighted")
+    )
+    return rounded(keys.join(F.broadcast(meta), how="cross"))  # one row of description
+
+
+def result_records(spark, sf):
+    """Fidelity per label at two scales as result records: written, read, and named by status."""
+    root = _scratch(spark, "records")
+    rows = None
+    for tier, scale in (("coarse", 1.0), ("fine", 100.0)):
+        facts = metrics.summarize(LayeredCodec("gain16", DIM).fixed([scale]).errors(labelled(spark, sf)), ["label"])
+        part = facts.select(
+            F.concat(F.lit("label "), F.col("label")).alias("Model"), F.lit("gain16").alias("Version"),
+            F.lit(tier).alias("Tier"), F.lit(3.0).alias("BPD"), F.col("snr_db").alias("SNR"),
+        )
+        rows = part if rows is None else rows.unionByName(part)
+    results.write_results(rows, root)
+    read = results.read_results(spark, root).withColumn("status", metrics.status(F.col("SNR")))
+    return rounded(read.select("Model", "Version", "Tier", "BPD", "SNR", "status", F.col("Base PPL").alias("base_ppl")))
+
+
+def fidelity_report(spark, sf):
+    """Every metric of a one-stage codec per label."""
+    errors = LayeredCodec("gain16", DIM).fixed([100.0]).errors(labelled(spark, sf))
+    return rounded(metrics.summarize(errors, ["label"]), 9)
+
+
+def largest_difference(spark, sf):
+    """Largest element difference between vectors and their reconstruction, joined by id."""
+    df = emb(spark, sf)
+    rebuilt = LayeredCodec("gain16", DIM).fixed([100.0]).reconstruct(df.select("vec_id", "embedding"))
+    return rounded(metrics.max_difference(rebuilt, df.select("vec_id", F.col("embedding").alias("rebuilt")), "vec_id", "rebuilt"), 9)
+
+
+def rate_switch(spark, sf):
+    """The codec chosen on either side of 5.5 bits per dimension, and its fidelity."""
+    df, rows = emb(spark, sf), None
+    for target in (5.0, 5.5, 7.0):
+        codec = layered_switch(DIM, target)
+        kind = "block" if isinstance(codec, LayeredCodec) else "hotblock"
+        facts = metrics.summarize(codec.fit(df).errors(df)).select(
+            F.lit(target).alias("target_bpd"), F.lit(kind).alias("version"), "n_vectors", "snr_db"
+        )
+        rows = facts if rows is None else rows.unionByName(facts)
+    return rounded(rows, 4)
+
+
+def direction_rates(spark, sf):
+    """Stored bits of every label's vectors under the direction codec and the rotated codec."""
+    model = DirectionCodec(DIM, 4, 2.5, use_sketch=True, sketch_rank=4).blank()
+    values = F.sum(F.size("embedding"))
+    out = labelled(spark, sf).groupBy("label").agg(
+        (values * model.bits_per_dim()).alias("effective_bits"),
+        (values * model.bits_per_dim(raw=True)).alias("raw_bits"),
+        (values * entropy.rotated_bpd(DIM, 4)).alias("rotated_bits"),
+    )
+    return rounded(out, 3)
+
+
+def first_words(spark, sf):
+    """The first 300 lines of a stored word-vector file."""
+    root = _scratch(spark, "words")
+    df = emb(spark, sf).orderBy("vec_id").select(F.concat(F.lit("w"), F.col("vec_id")).alias("word"), "embedding")
+    vectors.write_word_vectors(df, root, "word", "embedding")
+    read = vectors.read_word_vectors(spark, root, DIM, 300)
+    return rounded(
+        read.agg(
+            F.count(F.lit(1)).alias("n_words"), F.max(F.substring("word", 2, 20).cast("bigint")).alias("last_id"),
+            F.sum(A.total("embedding")).alias("value_sum"),
+        ), 5,
+    )
+
+
+def sparse_codec_batch(spark, sf):
+    """Fitted on the even ids; the odd ones are coded with the cut-off of their own energies."""
+    df = emb(spark, sf)
+    model = LayeredCodec("sparse", DIM, 2, 3.0).fit(df.where("vec_id % 2 = 0"))
+    rest = df.where("vec_id % 2 = 1")
+    return _rate(model.with_batch_cutoffs(rest, "embedding"), rest)
+
+
+def deep_codecs(spark, sf):
+    """Up to four block and eight gain stages on all rows; fitting stops where nothing is left."""
+    df, rows = emb(spark, sf), None
+    for kind, stages in (("block", 4), ("gain16", 8)):
+        model = LayeredCodec(kind, DIM, stages).fit(df)
+        facts = metrics.summarize(model.errors(df)).select(
+            F.lit(kind).alias("version"), F.lit(len(model.scales)).alias("stages"), "n_vectors", "snr_db"
+        )
+        rows = facts if rows is None else rows.unionByName(facts)
+    return rounded(rows, 2)
+
+
+def drift_stream(spark, sf):
+    """Fidelity of the stream's micro-batches, here one with all vectors."""
+    root = _scratch(spark, "drift")
+    source = emb(spark, sf)
+    source.write.parquet(f"{root}/vectors")
+    stream = spark.readStream.schema(source.schema).parquet(f"{root}/vectors")
+    model = LayeredCodec("gain16", DIM).fixed([100.0])
+    jobs.drift_stream(stream, model, f"{root}/facts", f"{root}/checkpoint").awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/facts").select("segment", "n_vectors", "snr_db", "cosine"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -761,5 +901,7 @@ QUERIES = {
         lattice_products, energy_subspace, storage_footprint, cache_sizes, graph_codec_rates,
         rate_grid, rate_search, ablation, trial_summary, trial_comparison, tier_pivot, tier_matrix,
         rate_crossover, method_table, dimension_sweep, perplexity_delta,
+        stored_payload, stored_codes, stored_cache, result_records, fidelity_report, largest_difference,
+        rate_switch, direction_rates, first_words, sparse_codec_batch, deep_codecs, drift_stream,
     )
 }

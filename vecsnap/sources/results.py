@@ -17,8 +17,27 @@ RESULT_SCHEMA = (
 
 
 def read_results(spark: SparkSession, path: str, schema: str = RESULT_SCHEMA) -> DataFrame:
-    """Experiment records: one JSON array per file, or JSON lines."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+    """Experiment records: one JSON array per file, or JSON lines; not both in one folder.
+
+    A multi-line read of JSON lines would give the first record of each file only.
+    """
+    value = F.trim("value")
+    arrays, lines = (
+        spark.read.text(path)
+        .where(value != "")
+        .agg(F.count_if(value.startswith("[")), F.count_if(value.startswith("{") & value.endswith("}")))
+        .first()
+    )
+    if arrays and lines and not _all_files_hold_arrays(spark, path):
+        raise ValueError(f"{path} mixes arrays and JSON lines")
+    return spark.read.schema(schema).json(path, multiLine=arrays > 0)
+
+
+def _all_files_hold_arrays(spark: SparkSession, path: str) -> bool:
+    """Arrays may hold one whole record per line, but then each file has a line that opens one."""
+    opens = F.max(F.trim("value").startswith("[")).alias("opens")
+    files = spark.read.text(path).where(F.trim("value") != "").groupBy(F.col("_metadata.file_path")).agg(opens)
+    return files.where(~F.col("opens")).isEmpty()
 
 
 def write_results(df: DataFrame, path: str) -> None:
