@@ -259,12 +259,10 @@ def same_memory(state, want):
 
 
 @pytest.mark.parametrize("capacity", [10, 64, 1000])
-def test_memory_replay(spark, monkeypatch, capacity):
+def test_memory_replay(spark, capacity):
     log = random_log(capacity=min(capacity, 40))
     df = spark.createDataFrame(log, LOG).repartition(5)
     same_memory(memory.build_memory(df, 8, capacity), replay(log, capacity))
-    monkeypatch.setattr(memory, "LOCAL_RING", 0)
-    same_memory(memory.build_memory(df, 8, capacity), replay(log, capacity))
 
 
 def test_memory_facts(spark):

@@ -8,36 +8,28 @@ receives a third of all commands is merged map side like any other.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecsnap.operators.quantiles import order_statistic
 from vecsnap.operators.running import running_totals
 from vecsnap.operators.search import lattice_key
 
-# Largest ring whose slots are numbered in one task.
-LOCAL_RING = 1_000_000
-
 
 def assign_slots(stores: DataFrame, capacity: int, stored_before: int = 0) -> tuple[DataFrame, int]:
     """Ring positions ``(n-th store - 1) mod capacity`` of stores without a slot, and their count.
 
     Only the last ``capacity`` of them can survive in the ring, so older ones are left
-    out: a cut-off sequence number replaces numbering the whole log. A ring too large to
-    number in one place falls back to distributed running counts.
+    out: a cut-off sequence number replaces numbering the whole log. The rest are numbered
+    by bucketed running counts at every ring size. Sequence numbers are unique.
     """
     open_slot = stores.where("slot IS NULL")
     n = open_slot.count()
-    if capacity > LOCAL_RING:
-        counted = running_totals(open_slot, "seq", {"_n": F.lit(1).cast("bigint")})
-    else:
-        if n > capacity:
-            cut = order_statistic(open_slot, "seq", n - capacity + 1, n)
-            # One unit of slack covers the rounding of long numbers to doubles.
-            open_slot = open_slot.where(F.col("seq") >= F.lit(int(cut - abs(cut) * 1e-12) - 1))
-        back = F.row_number().over(Window.orderBy(F.desc("seq")))
-        counted = open_slot.withColumn("_n", n + 1 - back).where(F.col("_n") > n - capacity)
-    ring = F.pmod(F.col("_n") - 1 + stored_before, F.lit(capacity)).cast("bigint")
+    older = max(0, n - capacity)
+    if older:
+        open_slot = open_slot.where(F.col("seq") >= order_statistic(open_slot, "seq", older + 1, n))
+    counted = running_totals(open_slot, "seq", {"_n": F.lit(1).cast("bigint")})
+    ring = F.pmod(F.col("_n") - 1 + older + stored_before, F.lit(capacity)).cast("bigint")
     return counted.withColumn("slot", ring).drop("_n"), n
 
 
