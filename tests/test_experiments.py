@@ -77,5 +77,12 @@ def test_winners_and_pivot(spark):
 
 
 def test_reshape_dim(vectors):
-    for dim in (8, 22, 64, 150):
-        assert X.reshape_dim(vectors, dim).select(F.size("embedding")).distinct().collect()[0][0] == dim
+    """Every value of every vector is used at any length, and ids stay unique."""
+    source = {r["vec_id"]: list(r["embedding"]) for r in vectors.collect()}
+    for dim in (8, 22, 64, 100):
+        rows = X.reshape_dim(vectors, dim).collect()
+        pieces = -(-64 // dim)
+        assert len({r["vec_id"] for r in rows}) == len(rows) == pieces * len(source)
+        for r in rows:
+            whole, k = source[r["vec_id"] // pieces], r["vec_id"] % pieces
+            assert list(r["embedding"]) == [whole[(k * dim + i) % 64] for i in range(dim)]

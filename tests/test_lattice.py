@@ -110,3 +110,9 @@ def test_code_words(spark):
     words = bits.messages(spark.range(4096), "id")
     weights = {r["weight"]: r["count"] for r in words.groupBy("weight").count().collect()}
     assert weights == {0: 1, 8: 759, 12: 2576, 16: 759, 24: 1}
+
+
+def test_sql_function_passes_null_through(spark):
+    lattice.register(spark)
+    rows = spark.sql("SELECT e8_nearest(x) AS q FROM VALUES (array(1.1D,0D,0D,0D,0D,0D,0D,0.9D)), (NULL) AS t(x)").collect()
+    assert [r["q"] for r in rows] == [[1.0, 0, 0, 0, 0, 0, 0, 1.0], None]

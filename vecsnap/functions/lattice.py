@@ -45,13 +45,16 @@ def e8_nearest(df: DataFrame, column: str, out: str = "q") -> DataFrame:
 
 @pandas_udf(T.ArrayType(T.DoubleType()))
 def _e8_udf(x: pd.Series) -> pd.Series:
-    if len(x) == 0:
-        return x
-    return pd.Series(list(nearest_e8(np.stack(x.to_numpy()).astype(float))))
+    out = pd.Series([None] * len(x), dtype=object)
+    known = np.flatnonzero(x.notna().to_numpy())
+    if len(known):
+        for i, point in zip(known, nearest_e8(np.stack(x.to_numpy()[known]).astype(float))):
+            out[i] = point
+    return out
 
 
 def register(spark: SparkSession) -> None:
-    """Register ``e8_nearest(array<double>)`` for SQL text."""
+    """Register ``e8_nearest(array<double>)`` for SQL text; NULL gives NULL."""
     spark.udf.register("e8_nearest", _e8_udf)
 
 

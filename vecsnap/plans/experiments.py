@@ -378,12 +378,19 @@ def method_table(
     return out
 
 
-def reshape_dim(df: DataFrame, dim: int, column: str = "embedding") -> DataFrame:
-    """The table at another vector length: a prefix, or the vector repeated and cut."""
-    size = len(df.select(column).first()[0])
-    times = math.ceil(dim / size)
-    wide = F.flatten(F.array_repeat(F.col(column), times)) if times > 1 else F.col(column)
-    return df.withColumn(column, F.slice(wide, 1, dim))
+def reshape_dim(df: DataFrame, dim: int, column: str = "embedding", id_col: str = "vec_id") -> DataFrame:
+    """The table at another vector length, with every value of every vector in it.
+
+    A longer vector is cut into pieces, numbered on from ``id * pieces``; the last piece, or a
+    shorter vector, goes on with the vector's own first values.
+    """
+    size = F.size(column)
+    pieces = F.ceil(size / dim).cast("int")
+    wide = F.flatten(F.array_repeat(F.col(column), F.ceil(pieces * dim / size).cast("int")))
+    cut = F.transform(F.sequence(F.lit(0), pieces - 1), lambda k: F.slice(wide, k * dim + 1, F.lit(dim)))
+    others = [c for c in df.columns if c not in (column, id_col)]
+    rows = df.where(size > 0).select(*others, F.col(id_col).alias("_id"), pieces.alias("_n"), F.posexplode(cut).alias("_k", column))
+    return rows.select(*others, (F.col("_id") * F.col("_n") + F.col("_k")).alias(id_col), column)
 
 
 def dimension_sweep(
@@ -393,7 +400,7 @@ def dimension_sweep(
     """SNR of the searched codec and of the 3-bit scalar baseline per dimension."""
     rows = []
     for dim in dims:
-        table = reshape_dim(df.select(id_col, column), dim, column)
+        table = reshape_dim(df.select(id_col, column), dim, column, id_col)
         base = ScalarCodec(dim, 3).fit(table, column)
         model, _ = search_rate(table, table, dim, target_bpd, "key", column=column, id_col=id_col, seed=99 + dim)
         snr = config_snr({"base": base, "found": model}, table, column, dim)

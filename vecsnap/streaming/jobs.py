@@ -62,8 +62,15 @@ class MemoryTable:
         """Fold one batch of commands over the state before it."""
         last = self._marker(version)
         stored = last[1] if last else 0
-        log = batch.select("seq", "op", F.col("slot").cast("bigint").alias("slot"), "key", "value")
-        log, new = place(log, self.capacity, stored)
+        # Placing counts, cuts and folds the batch: one read of the source serves them all.
+        batch = batch.select("seq", "op", F.col("slot").cast("bigint").alias("slot"), "key", "value").persist()
+        try:
+            self._fold(batch, version, last, stored)
+        finally:
+            batch.unpersist()
+
+    def _fold(self, batch: DataFrame, version: int, last: tuple[int, int] | None, stored: int) -> None:
+        log, new = place(batch, self.capacity, stored)
         if last:
             before = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/state/v{last[0]}")
             log = as_commands(before).unionByName(log)
