@@ -8,7 +8,8 @@ that share a text form a region. Within a region documents are the pivots: each
 nearest pivot's cell and, by the triangle inequality, to every cell whose pivot is at most twice
 the radius farther (a boundary text), and cells are joined recursively. Cells whose texts are
 already connected need no further look; cells that pivots cannot divide are compared directly, but
-only the texts outside the largest connected part against all others.
+only the texts outside the largest connected part against all others. These two shortcuts serve
+components only; where links are asked for, every link is computed, inside connected parts too.
 
 Regions of up to ``REGION_DOCS`` distinct sets are joined in one task; larger ones are divided by
 the same rule as Spark jobs, over chunks of their texts.
@@ -48,9 +49,11 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Region:
-    """Some shingle sets and their connected parts, joined by pivots."""
+    """Some shingle sets and their connected parts, joined by pivots; with ``every``, all their links."""
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, sets: list[np.ndarray], every: bool = False):
+        self.every = every
+        self.met: list[np.ndarray] = []
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         values, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
         self.starts = np.r_[0, np.cumsum(self.sizes)]
@@ -72,14 +75,16 @@ class Region:
         """Distances of ``x`` to ``rows``; links join the connected parts."""
         inter = self.shared(x, rows)
         near = rows[linked(inter, self.sizes[x], self.sizes[rows])]
+        if self.every:
+            self.met.append(np.stack([np.minimum(near, x), np.maximum(near, x)], axis=1))
         parts = np.unique(np.r_[self.part[near], self.part[x]])
         if len(parts) > 1:
             self.part[np.isin(self.part, parts)] = parts[0]
         return 1 - inter / (self.sizes[x] + self.sizes[rows] - inter)
 
     def join(self, rows: np.ndarray, depth: int = 0) -> None:
-        """Find every link among ``rows`` that connects two parts."""
-        if len(rows) < 2 or (self.part[rows] == self.part[rows[0]]).all():
+        """Find every link among ``rows``, without ``every`` those that connect two parts."""
+        if len(rows) < 2 or (not self.every and (self.part[rows] == self.part[rows[0]]).all()):
             return
         if len(rows) > 4 * PIVOTS and depth < 8:
             chosen = rows[np.argsort(mix(rows.astype(np.uint64) + np.uint64(depth * 7919)))[:PIVOTS]]
@@ -92,16 +97,21 @@ class Region:
                     self.join(cell, depth + 1)
                 return
         names, counts = np.unique(self.part[rows], return_counts=True)
-        inside = self.part[rows] == names[counts.argmax()]
+        inside = (self.part[rows] == names[counts.argmax()]) & (not self.every)
         outside = rows[~inside]
         for k, x in enumerate(outside.tolist()):
             rest = np.r_[outside[k + 1 :], rows[inside]]
-            # A link needs sizes within the threshold, and a partner in another part.
+            # A link needs sizes within the threshold, and one that connects a partner in another part.
             least, most = np.minimum(self.sizes[rest], self.sizes[x]), np.maximum(self.sizes[rest], self.sizes[x])
-            rest = rest[(100 * least >= PERCENT * most) & (self.part[rest] != self.part[x])]
+            rest = rest[(100 * least >= PERCENT * most) & (self.every | (self.part[rest] != self.part[x]))]
             if len(rest):
                 self.against(x, rest)
 
+    def links(self) -> np.ndarray:
+        """The distinct links met, as pairs of rows."""
+        pairs = np.unique(np.concatenate([np.zeros((0, 2), dtype=np.int64), *self.met]), axis=0)
+        return pairs[pairs[:, 0] != pairs[:, 1]]
+
 
 def _shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """A bitmap of shingles that more than one row holds, and rough levels of their frequency.
@@ -220,8 +230,8 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "region long, node long, shingles array<long>")
 
 
-def _join_small(regions: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect what the links of each region connect."""
+def _join_small(regions: DataFrame, every: bool) -> DataFrame:
+    """Edges (u, v) that connect what the links of each region connect; with ``every``, all links."""
 
     def run(group: pa.Table) -> pa.Table:
         nodes = group["node"].to_numpy()
@@ -230,14 +240,17 @@ def _join_small(regions: DataFrame) -> DataFrame:
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         flat = lists.flatten().to_numpy().view(np.uint64)
         cuts = np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-        region = Region([flat[cuts[i] : cuts[i + 1]] for i in first.tolist()])
+        region = Region([flat[cuts[i] : cuts[i + 1]] for i in first.tolist()], every)
         region.join(np.arange(len(nodes)))
+        if every:
+            u, v = region.links().T
+            return pa.table({"u": nodes[u], "v": nodes[v]})
         return pa.table({"u": nodes, "v": nodes[region.part]})
 
     return regions.groupBy("region").applyInArrow(run, "u long, v long").where("u <> v")
 
 
-def _divide(large: DataFrame, limit: int, level: int) -> tuple[DataFrame, DataFrame]:
+def _divide(large: DataFrame, limit: int, level: int, every: bool) -> tuple[DataFrame, DataFrame]:
     """Cells of regions above ``limit`` texts (with ``size``), and the links found on the way."""
     seed = F.lit(level)
     chunks = F.ceil(2 * F.col("size") / limit).cast("int")
@@ -295,10 +308,10 @@ def _divide(large: DataFrame, limit: int, level: int) -> tuple[DataFrame, DataFr
     dense = stored(dense.join(largest, "region"), "dense")
     blocks = F.ceil(2 * F.col("total") / F.lit(limit * 0.8)).cast("int")
     block = F.pmod(F.xxhash64(F.lit(77), "node"), blocks).cast("int")
-    outside = F.col("part") != F.col("main")
-    every = F.sequence(F.lit(0), blocks - 1)
+    outside = F.lit(True) if every else F.col("part") != F.col("main")
+    columns = F.sequence(F.lit(0), blocks - 1)
     used = dense.where(outside).select("region", block.alias("row")).distinct()
-    as_row = dense.where(outside).select("region", "node", block.alias("row"), F.explode(every).alias("column"))
+    as_row = dense.where(outside).select("region", "node", block.alias("row"), F.explode(columns).alias("column"))
     as_column = dense.select("region", "node", block.alias("column")).join(used, "region").select(
         "region", "node", "row", "column")
     met = as_row.unionByName(as_column).select("region", "node", F.xxhash64("region", "row", "column").alias("cell"))
@@ -307,8 +320,8 @@ def _divide(large: DataFrame, limit: int, level: int) -> tuple[DataFrame, DataFr
     return out, links
 
 
-def similar(docs: DataFrame, region_docs: int = REGION_DOCS) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, text_key."""
+def _linked(docs: DataFrame, region_docs: int, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows with their set's ``node``, and edges (u, v) of distinct sets: enough for components, or all links."""
     rows = stored(shingle_rows(docs, _shared_shingles(docs)), "shingles")
     sets = rows.where("n > 0")
     # Equal sets are one node; the arrays of copies meet in the map side of the aggregation.
@@ -327,20 +340,46 @@ def similar(docs: DataFrame, region_docs: int = REGION_DOCS) -> DataFrame:
         large = sized.where(F.col("size") > region_docs)
         more = not large.isEmpty()
         small = regions.join(sized.where(F.col("size") <= region_docs), "region").drop("size") if more else regions
-        found = stored(_join_small(small), "links")
+        found = stored(_join_small(small, every), "links")
         edges = found if edges is None else edges.unionByName(found)
         if not more:
             break
-        regions, links = _divide(regions.join(large, "region"), region_docs, level)
+        regions, links = _divide(regions.join(large, "region"), region_docs, level, every)
         regions, edges, level = stored(regions, "regions"), edges.unionByName(links), level + 1
+    if every:
+        edges = stored(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    return rows, edges
+
+
+def link_pairs(docs: DataFrame, region_docs: int = REGION_DOCS) -> tuple[DataFrame, DataFrame]:
+    """All links: members (doc_id, text_key, node) of every class of equal sets, and the pairs (u, v), u < v, of linked classes.
+
+    The documents of one class are linked with each other and with all those of a linked class.
+    """
+    rows, edges = _linked(docs, region_docs, every=True)
+    return rows.where("n > 0").select("doc_id", "text_key", "node"), edges
+
+
+def similar(docs: DataFrame, region_docs: int = REGION_DOCS, links: bool = False) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, text_key; with ``links`` also n_links, the rows it is linked with."""
+    rows, edges = _linked(docs, region_docs, links)
     parts = components(edges)
     named = rows.join(parts.select("node", "root"), "node", "left")
     named = named.withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     ids = named.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = named.join(ids, "root", "left")
+    counted = []
+    if links:
+        copies = rows.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+        both = edges.union(edges.select("v", "u")).toDF("node", "other")
+        others = both.join(copies.toDF("other", "others"), "other").groupBy("node").agg(F.sum("others").alias("others"))
+        n_links = F.coalesce(F.col("copies") - 1 + F.coalesce("others", F.lit(0)), F.lit(0))
+        out = out.join(copies.join(others, "node", "left"), "node", "left")
+        counted = [n_links.alias("n_links")]
     return out.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_key",
+        *counted,
     )
 
 
