@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsnap.llm import exact, jaccard, licenses, mixing, pieces, quality, secrets, sharding, substrings, tokencount
+from vecsnap.llm import bpe, exact, jaccard, licenses, mixing, pieces, quality, secrets, sharding, substrings, tokencount
 from vecsnap.llm.oracle import oracle_sql  # noqa: F401
 
 
@@ -19,6 +19,12 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_mix_sources(spark, sf):
     """Words each document gives to a mix of 150 % of all words, in training order."""
     mixed = mixing.mix(documents(spark, sf).select("doc_id", "text", "source"))
@@ -77,6 +83,18 @@ def op10_quality(spark, sf):
     return rows.select(*names)
 
 
+def op11_bpe_codec(spark, sf):
+    """Digests of the ids of every text and of the text decoded from them."""
+    rows = bpe.encode(documents(spark, sf), tokenizer_path())
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_jaccard": op2_jaccard,
@@ -88,5 +106,6 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_piece_codec": op9_piece_codec,
     "op10_quality": op10_quality,
+    "op11_bpe_codec": op11_bpe_codec,
 }
 
