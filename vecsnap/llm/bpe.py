@@ -1,34 +1,39 @@
 """Byte-level BPE by a table of distinct words, and decoding by an id-to-piece join.
 
 Spark cuts every text into the tokenizer's words with one regular expression. Each chunk of
-documents keeps its words as numbers into a list of its own distinct words; only these short lists
-are exchanged. Equal words of all chunks meet in one table, where each distinct word is encoded
-once; its ids go back to the chunks, which put them at the positions of the word. Ids become text
-by a join with the table of pieces, whose size is that of the vocabulary.
+documents keeps its words as numbers into the list of its own distinct words; of the words, only
+these lists are exchanged. Equal words of all chunks meet in one partition, whose table encodes
+each distinct word once; the ids go back to the chunks, which put them at the positions of the
+word. Ids become text by a join with the broadcast table of pieces, as large as the vocabulary.
+
+Numbers travel as bytes, seven bits each, the frequent ones in one byte. The documents of a chunk
+are exchanged once and serve both sides, so a chunk is numbered from one computation.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to an empty text;
 repeated rows, null ids and ties get a row each; an empty table gives an empty result; columns
-other than ``doc_id`` and ``text`` are ignored. One word of any length is a row of the table, so
-memory is bounded by the larger of a chunk and the longest text.
+other than ``doc_id`` and ``text`` are ignored. One word of any length is one entry of the table,
+so memory is bounded by the larger of a chunk and the longest text, and by the table of a partition.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsnap.llm.common import stored, whole
+from vecsnap.llm.common import whole
 
 # Words of a chunk, unless one text has more.
 CHUNK_WORDS = 1 << 20
-CHUNKED = "doc_id long, chunk long, numbers array<int>, words array<string>"
+CHUNKED = "doc_id long, chunk long, numbers binary, text string, sizes binary"
 # White space as byte-level BPE splits it (fixed values).
 SPACES = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 LAST_POINT = 0x110000
@@ -93,18 +98,22 @@ def _pattern(spark: SparkSession, content: str) -> str:
     for name, wanted in zip(r"\p{L} \p{N}".split(), _library_classes(content)):
         found = spark.range(1).select(F.regexp_extract_all(text, F.lit(f"{name}+"), F.lit(0))).first()[0]
         have = {ord(c) for run in found for c in run}
-        more, less = _ranges(wanted - have), _ranges(have - wanted)
-        classes.append(f"[{name}{more}" + (f"&&[^{less}]" if less else "") + "]")
+        more, less = wanted - have, have - wanted
+        # Nested, so that the long list is looked at only for characters from its first one on.
+        added = f"[\\x{{{min(more):X}}}-\\x{{{LAST_POINT - 1:X}}}&&[{_ranges(more)}]]" if more else ""
+        classes.append(f"[{name}{added}]" if not less else f"[[{name}{added}]&&[^{_ranges(less)}]]")
     letter, number = classes
     specials = [t["content"] for t in json.loads(content).get("added_tokens", [])]
     special = "|".join(f"\\Q{s}\\E" for s in sorted(specials, key=len, reverse=True))
     free = f"(?!{special})" if special else ""
     other = f"[^{SPACES}{letter}{number}]"
     solid = f"[^{SPACES}]"
+    # Frequent alternatives first; only a special token can share its first character with them.
+    shared = any(s[0].isspace() or s[0].isalnum() for s in specials)
+    front, back = (f"{special}|", "") if shared else ("", f"{special}|" if special else "")
     return (
-        (f"{special}|" if special else "")
-        + rf"'s|'t|'re|'ve|'m|'ll|'d|\x20?{letter}+|\x20?{number}+|\x20?(?:{free}{other})++"
-        + rf"|[{SPACES}]+(?!{free}{solid})|[{SPACES}]+"
+        rf"{front}\x20?{letter}+|\x20?{number}+|{back}'(?:[stmd]|re|ve|ll)"
+        rf"|\x20?(?:{free}{other})++|[{SPACES}]+(?!{free}{solid})|[{SPACES}]+"
     )
 
 
@@ -113,133 +122,216 @@ def split_words(spark: SparkSession, text: Column, content: str) -> Column:
     return F.regexp_extract_all(text, F.lit(_pattern(spark, content)), F.lit(0))
 
 
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^28 as bytes of seven bits, low ones first; the last byte of each is below 128."""
+    n = np.asarray(numbers, dtype=np.uint32)
+    size = 1 + (n >= 1 << 7) + (n >= 1 << 14) + (n >= 1 << 21)
+    out = np.zeros(int(size.sum()), dtype=np.uint8)
+    at = np.cumsum(size) - size
+    for k in range(4):
+        has = size > k
+        out[at[has] + k] = (n[has] >> (7 * k)) & 127 | np.where(size[has] > k + 1, 128, 0)
+    return out.tobytes()
+
+
+def unpack(packed: bytes | pa.Buffer) -> np.ndarray:
+    """The numbers of ``pack``."""
+    raw = np.frombuffer(packed, dtype=np.uint8)
+    ends = np.flatnonzero(raw < 128)
+    starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
+    out = (raw[starts] & 127).astype(np.int64)
+    for k in range(1, 4):
+        has = ends - starts >= k
+        out[has] |= (raw[starts[has] + k] & 127).astype(np.int64) << (7 * k)
+    return out
+
+
+def _cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes sum to ``most`` at most, or of one row."""
+    start = 0
+    while start < len(sizes):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, side="right")))
+        yield start, start + n
+        start += n
+
+
 def chunks(docs: DataFrame, content: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """Documents with word numbers; the first of a chunk carries the chunk's distinct words."""
+    """Documents with packed word numbers; the first of a chunk carries the chunk's distinct words.
 
-    def cut(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
-        start = 0
-        while start < len(sizes):
-            total = np.cumsum(sizes[start:])
-            n = max(1, int(np.searchsorted(total, chunk_words, side="right")))
-            yield start, start + n
-            start += n
+    Numbers follow the frequency of the words. ``text`` holds the words one after another and
+    ``sizes`` their lengths.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
-            words = batch.column("words")
-            sizes = np.diff(words.offsets.to_numpy())
-            for a, b in cut(sizes):
+            words, ids = batch.column("words"), batch.column("doc_id")
+            counts = np.diff(words.offsets.to_numpy())
+            for a, b in _cut(counts, chunk_words):
                 coded = words.slice(a, b - a).flatten().dictionary_encode()
-                ends = np.r_[0, np.cumsum(sizes[a:b])].astype(np.int32)
-                numbers = pa.ListArray.from_arrays(pa.array(ends), coded.indices)
-                own = pa.array([coded.dictionary.to_pylist(), *[None] * (b - a - 1)], pa.list_(pa.string()))
-                number = pa.array(np.full(b - a, chunk))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), number, numbers, own], ["doc_id", "chunk", "numbers", "words"]
-                )
+                index = coded.indices.to_numpy()
+                order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
+                rank = np.empty(len(order), dtype=np.int64)
+                rank[order] = np.arange(len(order))
+                numbers = [pack(x) for x in np.split(rank[index], np.cumsum(counts[a:b])[:-1])]
+                own = coded.dictionary.take(pa.array(order)).to_pylist()
+                empty = [None] * (b - a - 1)
+                columns = [
+                    ids.slice(a, b - a),
+                    pa.array(np.full(b - a, chunk)),
+                    pa.array(numbers, pa.binary()),
+                    pa.array(["".join(own), *empty], pa.string()),
+                    pa.array([pack(np.array([len(w) for w in own])), *empty], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk", "numbers", "text", "sizes"])
                 chunk += 1
 
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), split_words(docs.sparkSession, whole(), content).alias("words")
     )
-    return stored(rows.mapInArrow(run, CHUNKED), "chunks")
+    # Every reader takes all columns of this exchange, so the plan holds it once.
+    return rows.mapInArrow(run, CHUNKED).repartition("chunk")
 
 
-def word_table(words: DataFrame, content: str) -> DataFrame:
-    """``word`` and ``ids`` of every distinct ``word``, each encoded once."""
-    shared = words.sparkSession.sparkContext.broadcast(content)
+def words_by_bucket(chunked: DataFrame, buckets: int) -> DataFrame:
+    """The distinct words of every chunk, dealt by a checksum of the word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _word_encoder(shared.value)
         for batch in batches:
-            ids = [e.ids for e in encoder.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+            for row in batch.select(["chunk", "text", "sizes"]).filter(pc.is_valid(batch.column("text"))).to_pylist():
+                ends = np.cumsum(unpack(row["sizes"])).tolist()
+                words = [row["text"][a:b] for a, b in zip([0, *ends[:-1]], ends)]
+                if not words:
+                    continue
+                bucket = np.array([zlib.crc32(w.encode()) for w in words]) % buckets
+                order = np.argsort(bucket, kind="stable")
+                cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+                parts = [part.tolist() for part in np.split(order, cuts[1:])]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "bucket": pa.array(bucket[order[cuts]], pa.int32()),
+                        "chunk": pa.array([row["chunk"]] * len(parts), pa.int64()),
+                        "text": pa.array(["".join(map(words.__getitem__, p)) for p in parts], pa.string()),
+                        "sizes": pa.array([pack(np.array([len(words[i]) for i in p])) for p in parts], pa.binary()),
+                        "numbers": pa.array([pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
+                    }
+                )
 
-    return stored(words.select("word").distinct().mapInArrow(run, "word string, ids array<int>"), "words")
+    fields = "bucket int, chunk long, text string, sizes binary, numbers binary"
+    return chunked.mapInArrow(run, fields).repartition(buckets, "bucket")
 
 
-def piece_table(spark: SparkSession, content: str) -> DataFrame:
-    """``id`` and the bytes ``piece`` of the whole vocabulary."""
+def encode_words(dealt: DataFrame, content: str) -> DataFrame:
+    """Packed ids of the words of every chunk; each distinct word of a partition is encoded once."""
+    shared = dealt.sparkSession.sparkContext.broadcast(content)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, table = _word_encoder(shared.value), {}
+        for batch in batches:
+            ids, sizes = [], []
+            for text, lengths in zip(batch.column("text").to_pylist(), batch.column("sizes").to_pylist()):
+                ends = np.cumsum(unpack(lengths)).tolist()
+                words = [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+                new = [w for w in words if w not in table]
+                for w, e in zip(new, encoder.encode_batch(new, add_special_tokens=False)):
+                    table[w] = (pack(np.array(e.ids)), len(e.ids))
+                found = [table[w] for w in words]
+                ids.append(b"".join([x for x, _ in found]))
+                sizes.append(pack(np.array([n for _, n in found])))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("chunk"), batch.column("numbers"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())],
+                ["home", "numbers", "sizes", "ids"],
+            )
+
+    return dealt.mapInArrow(run, "home long, numbers binary, sizes binary, ids binary")
+
+
+def pieces(content: str) -> pa.Array:
+    """The bytes of every id, in the order of ids; an id without a piece is null."""
     # The published alphabet of byte-level BPE: printable bytes stand for themselves, others follow 255.
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     shifted = [b for b in range(256) if b not in set(plain)]
     to_byte = {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(shifted)}}
-    rows = []
-    for token, i in _library(content).get_vocab(with_added_tokens=True).items():
+    vocabulary = _library(content).get_vocab(with_added_tokens=True)
+    rows: list[bytes | None] = [None] * (max(vocabulary.values()) + 1)
+    for token, i in vocabulary.items():
         known = all(c in to_byte for c in token)
-        rows.append((i, bytes(map(to_byte.__getitem__, token)) if known else token.encode()))
-    return spark.createDataFrame(rows, "id int, piece binary")
+        rows[i] = bytes(map(to_byte.__getitem__, token)) if known else token.encode()
+    return pa.array(rows, pa.large_binary())
 
 
-def _text_of(pieces: Column) -> Column:
-    """Bytes of ordered pieces, joined as one hex string and read back as one binary value."""
-    return F.unhex(F.array_join(F.transform(pieces, lambda p: F.hex(p)), ""))
+def join_pieces(ids: np.ndarray, ends: np.ndarray, table: pa.Array) -> pa.Array:
+    """Text of each run of ids: the pieces found by id lie one after another, runs are cut from them."""
+    known = pa.array(ids, mask=(ids < 0) | (ids >= len(table)))
+    found = table.take(known).fill_null(b"")
+    cuts = np.frombuffer(found.buffers()[1], dtype=np.int64)[: len(found) + 1][ends] if len(found) else ends * 0
+    raw = memoryview(found.buffers()[2] or b"")
+    return pa.array([bytes(raw[a:b]).decode(errors="replace") for a, b in zip(cuts[:-1], cuts[1:])], pa.string())
+
+
+@functools.lru_cache(maxsize=2)
+def _pieces(content: str) -> pa.Array:
+    return pieces(content)
 
 
 def decode(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     """``key`` and ``text`` of every row with ``ids``; null ids and unknown ids give no text.
 
-    Bytes that are no UTF-8 become replacement characters, as in the library.
+    The table of pieces is broadcast; its size is that of the vocabulary. Bytes that are no UTF-8
+    become replacement characters, as in the library.
     """
     with open(path, encoding="utf-8") as f:
-        content = f.read()
-    spark = encoded.sparkSession
-    rows = stored(encoded.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), "ids"), "ids")
-    joined = _joined_pieces(rows.select("row", "ids"), "row", piece_table(spark, content))
-    texts = rows.join(joined, "row", "left").select("key", F.coalesce("raw", F.lit(b"")).alias("raw"))
+        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _pieces(shared.value)
         for batch in batches:
-            texts = [raw.decode(errors="replace") for raw in batch.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(texts, pa.string())], ["key", "text"])
+            lists = batch.column("ids")
+            ends = np.r_[0, np.cumsum(pc.list_value_length(lists).fill_null(0).to_numpy())]
+            ids = lists.flatten().fill_null(-1).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column("key"), join_pieces(ids, ends, table)], ["key", "text"])
 
+    rows = encoded.select(F.col(key).alias("key"), "ids")
     kind = rows.schema["key"].dataType.simpleString()
-    return texts.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
-
-
-def _joined_pieces(rows: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
-    """``key`` and the bytes ``raw`` of its ids in order, by a join with the bounded table of pieces."""
-    spread = rows.select(key, F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces), "id")
-    ordered = spread.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("all"))
-    return ordered.select(key, _text_of(F.col("all.piece")).alias("raw"))
+    return rows.mapInArrow(run, f"key {kind}, text string").withColumnRenamed("key", key)
 
 
-def encode(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS, buckets: int | None = None) -> DataFrame:
     """Per document: doc_id, ``ids``, and ``decoded``, the text that these ids decode to.
 
-    ``path``: the tokenizer's file on the driver; its content goes to the workers once.
+    ``path``: the tokenizer's file on the driver; its content goes to the workers once. ``buckets``:
+    parts of the table of distinct words; by default the session's number of shuffle partitions.
     """
     with open(path, encoding="utf-8") as f:
         content = f.read()
     spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(content)
     numbered = chunks(docs, content, chunk_words)
-    own = numbered.where("words IS NOT NULL").select("chunk", F.posexplode("words").alias("number", "word"))
-    table = word_table(own, content)
-    raw = _joined_pieces(table, "word", piece_table(spark, content))
-    back = own.join(table.join(raw, "word"), "word").selectExpr("chunk AS home", "number", "ids", "raw")
-
-    def place(numbered: pa.Table, words: pa.Table) -> pa.Table:
-        words = words.sort_by("number").combine_chunks()
-        numbered = numbered.combine_chunks()
-        lists = words.column("ids").combine_chunks()
-        flat, ends = lists.flatten().to_numpy(), np.r_[0, np.cumsum(lists.value_lengths().to_numpy())]
-        sizes, raw = np.diff(ends), words.column("raw").to_pylist()
-        ids, decoded = [], []
-        for numbers in numbered.column("numbers").combine_chunks():
-            at = np.asarray(numbers.values, dtype=np.int64)
-            n = sizes[at]
-            before = np.cumsum(n) - n
-            # Each word's ids lie in a row: start of the word in the table, then one further each.
-            ids.append(flat[np.arange(n.sum()) + np.repeat(ends[at] - before, n)].astype(np.int32))
-            decoded.append(b"".join(map(raw.__getitem__, at.tolist())).decode(errors="replace"))
+    dealt = words_by_bucket(numbered, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def place(docs: pa.Table, words: pa.Table) -> pa.Table:
+        joined = {c: b"".join(words.column(c).to_pylist()) for c in ("sizes", "ids")}
+        # Numbers are steps from 0 in each row.
+        at = [np.cumsum(unpack(x)) for x in words.column("numbers").to_pylist()]
+        at = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+        flat, sizes = unpack(joined["ids"]), np.zeros(len(at), dtype=np.int64)
+        begins = np.zeros(len(at), dtype=np.int64)
+        n = unpack(joined["sizes"])
+        sizes[at], begins[at] = n, np.cumsum(n) - n
+        numbers = [unpack(x) for x in docs.column("numbers").to_pylist()]
+        every = np.concatenate(numbers)
+        n = sizes[every]
+        before = np.r_[0, np.cumsum(n)]
+        # The ids of a word lie in a row: where the word begins, then one further each.
+        ids = flat[np.arange(before[-1]) + np.repeat(begins[every] - before[:-1], n)].astype(np.int32)
+        ends = before[np.r_[0, np.cumsum([len(x) for x in numbers])]]
         return pa.table(
             {
-                "doc_id": numbered.column("doc_id"),
-                "ids": pa.array(ids, pa.list_(pa.int32())),
-                "decoded": pa.array(decoded, pa.string()),
+                "doc_id": docs.column("doc_id"),
+                "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
+                "decoded": join_pieces(ids, ends, _pieces(shared.value)),
             }
         )
 
-    placed = numbered.select("doc_id", "chunk", "numbers").groupBy("chunk").cogroup(back.groupBy("home"))
+    placed = numbered.groupBy("chunk").cogroup(encode_words(dealt, content).groupBy("home"))
     return placed.applyInArrow(place, "doc_id long, ids array<int>, decoded string")
