@@ -6,8 +6,8 @@ these lists are exchanged. Equal words of all chunks meet in one partition, whos
 each distinct word once; the ids go back to the chunks, which put them at the positions of the
 word. Ids become text by a join with the broadcast table of pieces, as large as the vocabulary.
 
-Numbers travel as bytes, seven bits each, the frequent ones in one byte. The documents of a chunk
-are exchanged once and serve both sides, so a chunk is numbered from one computation.
+Numbers travel as compressed bytes, seven bits each, the frequent ones in one byte. The row of a
+chunk is exchanged once and serves both sides, so a chunk is numbered from one computation.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to an empty text;
 repeated rows, null ids and ties get a row each; an empty table gives an empty result; columns
@@ -18,6 +18,7 @@ so memory is bounded by the larger of a chunk and the longest text, and by the t
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import zlib
 from collections.abc import Iterable, Iterator
@@ -25,6 +26,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +35,9 @@ from vecsnap.llm.common import whole
 
 # Words of a chunk, unless one text has more.
 CHUNK_WORDS = 1 << 20
-CHUNKED = "doc_id long, chunk long, numbers binary, text string, sizes binary"
+CHUNKED = "chunk long, doc_ids array<long>, counts array<int>, numbers binary, text binary, sizes binary"
+DEALT = "bucket int, chunk long, text binary, sizes binary, numbers binary"
+PLACED = "home long, numbers binary, sizes binary, ids binary"
 # White space as byte-level BPE splits it (fixed values).
 SPACES = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 LAST_POINT = 0x110000
@@ -123,7 +127,7 @@ def split_words(spark: SparkSession, text: Column, content: str) -> Column:
 
 
 def pack(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^28 as bytes of seven bits, low ones first; the last byte of each is below 128."""
+    """Numbers below 2^28, seven bits a byte, low ones first, the last byte below 128; then compressed."""
     n = np.asarray(numbers, dtype=np.uint32)
     size = 1 + (n >= 1 << 7) + (n >= 1 << 14) + (n >= 1 << 21)
     out = np.zeros(int(size.sum()), dtype=np.uint8)
@@ -131,12 +135,12 @@ def pack(numbers: np.ndarray) -> bytes:
     for k in range(4):
         has = size > k
         out[at[has] + k] = (n[has] >> (7 * k)) & 127 | np.where(size[has] > k + 1, 128, 0)
-    return out.tobytes()
+    return zstandard.compress(out.tobytes())
 
 
-def unpack(packed: bytes | pa.Buffer) -> np.ndarray:
+def unpack(packed: bytes) -> np.ndarray:
     """The numbers of ``pack``."""
-    raw = np.frombuffer(packed, dtype=np.uint8)
+    raw = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8)
     ends = np.flatnonzero(raw < 128)
     starts = np.r_[0, ends[:-1] + 1] if len(ends) else ends
     out = (raw[starts] & 127).astype(np.int64)
@@ -146,6 +150,17 @@ def unpack(packed: bytes | pa.Buffer) -> np.ndarray:
     return out
 
 
+def pack_words(words: list[str]) -> tuple[bytes, bytes]:
+    """Words one after another, compressed, and their packed lengths."""
+    return zstandard.compress("".join(words).encode()), pack(np.array([len(w) for w in words]))
+
+
+def unpack_words(text: bytes, sizes: bytes) -> list[str]:
+    """The words of ``pack_words``."""
+    whole_text, ends = zstandard.decompress(text).decode(), np.cumsum(unpack(sizes)).tolist()
+    return [whole_text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def _cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """Runs of rows whose sizes sum to ``most`` at most, or of one row."""
     start = 0
@@ -156,10 +171,9 @@ def _cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
 
 
 def chunks(docs: DataFrame, content: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
-    """Documents with packed word numbers; the first of a chunk carries the chunk's distinct words.
+    """A row per chunk: ids and word counts of its documents, packed word numbers, distinct words.
 
-    Numbers follow the frequency of the words. ``text`` holds the words one after another and
-    ``sizes`` their lengths.
+    Numbers follow the frequency of the words, so frequent ones are short.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,17 +187,9 @@ def chunks(docs: DataFrame, content: str, chunk_words: int = CHUNK_WORDS) -> Dat
                 order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")
                 rank = np.empty(len(order), dtype=np.int64)
                 rank[order] = np.arange(len(order))
-                numbers = [pack(x) for x in np.split(rank[index], np.cumsum(counts[a:b])[:-1])]
-                own = coded.dictionary.take(pa.array(order)).to_pylist()
-                empty = [None] * (b - a - 1)
-                columns = [
-                    ids.slice(a, b - a),
-                    pa.array(np.full(b - a, chunk)),
-                    pa.array(numbers, pa.binary()),
-                    pa.array(["".join(own), *empty], pa.string()),
-                    pa.array([pack(np.array([len(w) for w in own])), *empty], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "chunk", "numbers", "text", "sizes"])
+                text, sizes = pack_words(coded.dictionary.take(pa.array(order)).to_pylist())
+                row = [chunk, ids.slice(a, b - a).to_pylist(), counts[a:b], pack(rank[index]), text, sizes]
+                yield _batch(CHUNKED, [[value] for value in row])
                 chunk += 1
 
     rows = docs.select(
@@ -193,32 +199,46 @@ def chunks(docs: DataFrame, content: str, chunk_words: int = CHUNK_WORDS) -> Dat
     return rows.mapInArrow(run, CHUNKED).repartition("chunk")
 
 
+def _batch(fields: str, columns: list[list]) -> pa.RecordBatch:
+    """Columns of Python values as a batch with the names and types of ``fields``."""
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(f.split(" ") for f in fields.split(", ")))
+    types = [pa.list_(kinds[t[6:-1]]) if t.startswith("array<") else kinds[t] for t in types]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(names))
+
+
 def words_by_bucket(chunked: DataFrame, buckets: int) -> DataFrame:
     """The distinct words of every chunk, dealt by a checksum of the word."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.select(["chunk", "text", "sizes"]).filter(pc.is_valid(batch.column("text"))).to_pylist():
-                ends = np.cumsum(unpack(row["sizes"])).tolist()
-                words = [row["text"][a:b] for a, b in zip([0, *ends[:-1]], ends)]
-                if not words:
-                    continue
-                bucket = np.array([zlib.crc32(w.encode()) for w in words]) % buckets
+            columns = [batch.column(c).to_pylist() for c in ("chunk", "text", "sizes")]
+            for chunk, text, sizes in zip(*columns):
+                words = unpack_words(text, sizes)
+                bucket = np.array([zlib.crc32(w.encode()) % buckets for w in words], dtype=np.int64)
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
-                parts = [part.tolist() for part in np.split(order, cuts[1:])]
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "bucket": pa.array(bucket[order[cuts]], pa.int32()),
-                        "chunk": pa.array([row["chunk"]] * len(parts), pa.int64()),
-                        "text": pa.array(["".join(map(words.__getitem__, p)) for p in parts], pa.string()),
-                        "sizes": pa.array([pack(np.array([len(words[i]) for i in p])) for p in parts], pa.binary()),
-                        "numbers": pa.array([pack(np.diff(p, prepend=0)) for p in parts], pa.binary()),
-                    }
+                cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                parts = [part.tolist() for part in np.split(order, cuts)[1:]]
+                packed = [pack_words([words[i] for i in part]) for part in parts]
+                steps = [pack(np.diff(part, prepend=0)) for part in parts]
+                yield _batch(
+                    DEALT, [bucket[order[cuts]], [chunk] * len(parts), [t for t, _ in packed], [n for _, n in packed], steps]
                 )
 
-    fields = "bucket int, chunk long, text string, sizes binary, numbers binary"
-    return chunked.mapInArrow(run, fields).repartition(buckets, "bucket")
+    return chunked.mapInArrow(run, DEALT).repartition(buckets, "bucket")
+
+
+class WordTable(dict):
+    """Ids of words, each encoded once."""
+
+    def __init__(self, content: str):
+        super().__init__()
+        self.encoder = _word_encoder(content)
+
+    def look_up(self, words: list[str]) -> list[list[int]]:
+        new = [w for w in words if w not in self]
+        self.update(zip(new, (e.ids for e in self.encoder.encode_batch(new, add_special_tokens=False))))
+        return [self[w] for w in words]
 
 
 def encode_words(dealt: DataFrame, content: str) -> DataFrame:
@@ -226,24 +246,16 @@ def encode_words(dealt: DataFrame, content: str) -> DataFrame:
     shared = dealt.sparkSession.sparkContext.broadcast(content)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, table = _word_encoder(shared.value), {}
+        table = WordTable(shared.value)
         for batch in batches:
             ids, sizes = [], []
             for text, lengths in zip(batch.column("text").to_pylist(), batch.column("sizes").to_pylist()):
-                ends = np.cumsum(unpack(lengths)).tolist()
-                words = [text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
-                new = [w for w in words if w not in table]
-                for w, e in zip(new, encoder.encode_batch(new, add_special_tokens=False)):
-                    table[w] = (pack(np.array(e.ids)), len(e.ids))
-                found = [table[w] for w in words]
-                ids.append(b"".join([x for x, _ in found]))
-                sizes.append(pack(np.array([n for _, n in found])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), batch.column("numbers"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())],
-                ["home", "numbers", "sizes", "ids"],
-            )
-
-    return dealt.mapInArrow(run, "home long, numbers binary, sizes binary, ids binary")
+                found = table.look_up(unpack_words(text, lengths))
+                ids.append(pack(np.fromiter(itertools.chain.from_iterable(found), dtype=np.int64)))
+                sizes.append(pack(np.fromiter(map(len, found), dtype=np.int64)))
+            yield _batch(PLACED, [batch.column("chunk"), batch.column("numbers"), sizes, ids])
+
+    return dealt.mapInArrow(run, PLACED)
 
 
 def pieces(content: str) -> pa.Array:
@@ -310,24 +322,23 @@ def encode(docs: DataFrame, path: str, chunk_words: int = CHUNK_WORDS, buckets:
     dealt = words_by_bucket(numbered, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def place(docs: pa.Table, words: pa.Table) -> pa.Table:
-        joined = {c: b"".join(words.column(c).to_pylist()) for c in ("sizes", "ids")}
+        row = docs.to_pylist()[0]
         # Numbers are steps from 0 in each row.
         at = [np.cumsum(unpack(x)) for x in words.column("numbers").to_pylist()]
-        at = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
-        flat, sizes = unpack(joined["ids"]), np.zeros(len(at), dtype=np.int64)
-        begins = np.zeros(len(at), dtype=np.int64)
-        n = unpack(joined["sizes"])
+        n = [unpack(x) for x in words.column("sizes").to_pylist()]
+        flat = [unpack(x) for x in words.column("ids").to_pylist()]
+        at, n, flat = (np.concatenate([np.zeros(0, dtype=np.int64), *x]) for x in (at, n, flat))
+        sizes, begins = np.zeros((2, len(at)), dtype=np.int64)
         sizes[at], begins[at] = n, np.cumsum(n) - n
-        numbers = [unpack(x) for x in docs.column("numbers").to_pylist()]
-        every = np.concatenate(numbers)
-        n = sizes[every]
+        numbers = unpack(row["numbers"])
+        n = sizes[numbers]
         before = np.r_[0, np.cumsum(n)]
         # The ids of a word lie in a row: where the word begins, then one further each.
-        ids = flat[np.arange(before[-1]) + np.repeat(begins[every] - before[:-1], n)].astype(np.int32)
-        ends = before[np.r_[0, np.cumsum([len(x) for x in numbers])]]
+        ids = flat[np.arange(before[-1]) + np.repeat(begins[numbers] - before[:-1], n)].astype(np.int32)
+        ends = before[np.r_[0, np.cumsum(row["counts"])]]
         return pa.table(
             {
-                "doc_id": docs.column("doc_id"),
+                "doc_id": pa.array(row["doc_ids"], pa.int64()),
                 "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)),
                 "decoded": join_pieces(ids, ends, _pieces(shared.value)),
             }
