@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsnap.llm.common import whole
+from vecsnap.llm.common import cut, whole
 
 # Words of a chunk, unless one text has more.
 CHUNK_WORDS = 1 << 20
@@ -161,15 +161,6 @@ def unpack_words(text: bytes, sizes: bytes) -> list[str]:
     return [whole_text[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
 
-def _cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows whose sizes sum to ``most`` at most, or of one row."""
-    start = 0
-    while start < len(sizes):
-        n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, side="right")))
-        yield start, start + n
-        start += n
-
-
 def chunks(docs: DataFrame, content: str, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """A row per chunk: ids and word counts of its documents, packed word numbers, distinct words.
 
@@ -181,7 +172,7 @@ def chunks(docs: DataFrame, content: str, chunk_words: int = CHUNK_WORDS) -> Dat
         for batch in batches:
             words, ids = batch.column("words"), batch.column("doc_id")
             counts = np.diff(words.offsets.to_numpy())
-            for a, b in _cut(counts, chunk_words):
+            for a, b in cut(counts, chunk_words):
                 coded = words.slice(a, b - a).flatten().dictionary_encode()
                 index = coded.indices.to_numpy()
                 order = np.argsort(-np.bincount(index, minlength=len(coded.dictionary)), kind="stable")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def cut(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows whose sizes sum to ``most`` at most, or of one row."""
+    start = 0
+    while start < len(sizes):
+        n = max(1, int(np.searchsorted(np.cumsum(sizes[start:]), most, side="right")))
+        yield start, start + n
+        start += n

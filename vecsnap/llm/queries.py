@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecsnap.llm import bpe, exact, jaccard, licenses, mixing, pieces, quality, secrets, sharding, substrings, tokencount
+from vecsnap.llm import (
+    bpe,
+    exact,
+    jaccard,
+    licenses,
+    mixing,
+    periodic,
+    pieces,
+    quality,
+    secrets,
+    sharding,
+    substrings,
+    tokencount,
+)
+from vecsnap.llm.common import let, whole, words
 from vecsnap.llm.oracle import oracle_sql  # noqa: F401
 
 
@@ -95,6 +109,42 @@ def op11_bpe_codec(spark, sf):
     )
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """``doc_id`` and ``words``, the words of one document in ten made periodic from some word on.
+
+    With h the checksum of the id and g = floor(h / 10), word i >= a = g % n of such a document
+    becomes word a + (i - a) % p, p = 1 + floor((n - a) / (3 + g % 8)). A null id alters nothing.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def alter(w):
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        periodic_words = F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + (i - a) % p)))
+        return F.when((h % 10 == 0) & (n > 0), periodic_words).otherwise(w)
+
+    return docs.select("doc_id", let(words(whole()), alter).alias("words"))
+
+
+def op12_periodic_runs(spark, sf):
+    """Runs of repeated words per document, the strongest of them, and the text without repetitions."""
+    rows = periodic.find_runs(planted_periods(documents(spark, sf)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    best = periodic.strongest()
+    return rows.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_jaccard": op2_jaccard,
@@ -107,5 +157,6 @@ QUERIES = {
     "op9_piece_codec": op9_piece_codec,
     "op10_quality": op10_quality,
     "op11_bpe_codec": op11_bpe_codec,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
