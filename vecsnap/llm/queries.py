@@ -18,6 +18,7 @@ from vecsnap.llm import (
     sharding,
     substrings,
     tokencount,
+    vectorcodes,
 )
 from vecsnap.llm.common import let, whole, words
 from vecsnap.llm.oracle import oracle_sql  # noqa: F401
@@ -145,6 +146,13 @@ def op12_periodic_runs(spark, sf):
     )
 
 
+def op13_vector_codes(spark, sf):
+    """Four bytes per vector from four codebooks, its error and that of its label."""
+    rows = vectorcodes.compress(spark.read.parquet(f"{sf}/embeddings.parquet"))
+    digits = F.transform("codes", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0"))
+    return rows.select("vec_id", F.array_join(digits, "").alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_jaccard": op2_jaccard,
@@ -158,5 +166,6 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_bpe_codec": op11_bpe_codec,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_vector_codes": op13_vector_codes,
 }
 
