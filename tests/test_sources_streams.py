@@ -102,36 +102,3 @@ def test_encode_stream(spark, vectors, tmp_path):
     assert coded.count() == 500
     diff = metrics.max_difference(model.decode(coded), model.reconstruct(vectors), "vec_id", "rebuilt")
     assert diff.first()[0] == 0.0
-
-
-def test_memory_stream_in_batches(spark, tmp_path):
-    log = random_log(300, 10, 5)
-    table = jobs.MemoryTable(spark, f"{tmp_path}/memory", 8, 10)
-    cuts = [0, 90, 91, 200, 300]
-    for version, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        batch = spark.createDataFrame(log[a:b], LOG)
-        table.apply(batch, version)
-        if version == 2:
-            table.apply(batch, version)  # a replayed batch changes nothing
-        same_memory(table.state(), replay(log[:b], 10))
-
-
-def test_memory_stream_query(spark, tmp_path):
-    log = random_log(120, 10, 9)
-    table = jobs.MemoryTable(spark, f"{tmp_path}/memory", 8, 10)
-    assert table.state().count() == 0
-    for a, b in ((0, 60), (60, 120)):
-        spark.createDataFrame(log[a:b], LOG).coalesce(1).write.mode("append").parquet(f"{tmp_path}/log")
-        commands = spark.readStream.schema(LOG).parquet(f"{tmp_path}/log")
-        table.follow(commands, f"{tmp_path}/ck").awaitTermination()
-        same_memory(table.state(), replay(log[:b], 10))
-
-
-def test_drift_stream(spark, vectors, tmp_path):
-    vectors.coalesce(1).write.parquet(f"{tmp_path}/in")
-    model = LayeredCodec("gain16", 64).fixed([100.0])
-    stream = spark.readStream.schema(vectors.schema).parquet(f"{tmp_path}/in")
-    jobs.drift_stream(stream, model, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    r = spark.read.parquet(f"{tmp_path}/out").first()
-    whole = metrics.summarize(model.errors(vectors)).first()["snr_db"]
-    assert r["segment"] == 0 and r["n_vectors"] == 500 and r["snr_db"] == pytest.approx(whole)

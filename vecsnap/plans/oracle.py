@@ -670,6 +670,11 @@ SELECT b chunk_id, round(sum(list_dot_product(y,y)),6) energy, round(sum(list_su
             "nz AS (SELECT vec_id, sum(m*m*list_dot_product(x,x)) z FROM r1 GROUP BY vec_id)",
             "sg AS (SELECT vec_id//100 segment, count(*) n_vectors, 10*log10(sum(p)/sum(z)) s FROM sig JOIN nz USING (vec_id) GROUP BY 1)",
         ) + "SELECT segment, n_vectors, round(s,6) snr_db, round(s-(SELECT s FROM sg ORDER BY segment LIMIT 1),6) drift_db FROM sg",
+        "drift_stream": chain(
+            blocks_gain(16), given_scale(0, 100.0), stage(0), signal(),
+            "nz AS (SELECT vec_id, sum(m*m*list_dot_product(x,x)) z FROM r1 GROUP BY vec_id)",
+            "sg AS (SELECT vec_id//100 segment, count(*) n_vectors, 10*log10(sum(p)/sum(z)) s FROM sig JOIN nz USING (vec_id) GROUP BY 1)",
+        ) + "SELECT segment, n_vectors, round(s,6) snr_db, round(s-(SELECT s FROM sg ORDER BY segment LIMIT 1),6) drift_db, true median_near FROM sg",
         "sampled_rows": "SELECT vec_id, label FROM embeddings ORDER BY md5('7:'||vec_id), vec_id LIMIT 100",
         "shuffled_rows": "SELECT vec_id, row_number() OVER (ORDER BY md5('42:'||vec_id)) AS position FROM embeddings",
         "position_split": """WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) k, count(*) OVER () n FROM embeddings)
@@ -704,7 +709,6 @@ FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) pos FROM
         "sparse_codec_batch": _sparse_batch(),
         "deep_codecs": f"""SELECT version, stages, n_vectors, round(snr_db,2) snr_db FROM
  (SELECT * FROM ({_deep('block', blocks_block(), 4)}) UNION ALL SELECT * FROM ({_deep('gain16', blocks_gain(16), 8)}))""",
-        "drift_stream": _one_stage(100.0, "0") + "SELECT 0 segment, n_vectors, round(10*log10(p/z),6) snr_db, round(c,6) cosine FROM f",
         "perplexity_delta": """WITH l AS (SELECT event_type AS model, CASE WHEN user_id%2=0 THEN 'base' ELSE 'coded' END variant, exp(avg(value/100)) ppl FROM events GROUP BY ALL)
 SELECT a.model, a.variant, round(a.ppl,6) ppl, round(b.ppl,6) base_ppl, round(a.ppl-b.ppl,6) ppl_delta FROM l a JOIN l b ON a.model=b.model AND b.variant='base'""",
     }

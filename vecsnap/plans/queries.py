@@ -23,7 +23,7 @@ from vecsnap.operators.running import running_totals
 from vecsnap.plans import experiments as X
 from vecsnap.session import checkpoint_dir
 from vecsnap.sources import results, vectors
-from vecsnap.streaming import jobs
+from vecsnap.streaming import jobs, keyed
 
 DIM = 64
 
@@ -489,14 +489,23 @@ def memory_retrieve(spark, sf):
     return rounded(found.select("q_id", "slot", "similarity", F.col("value")[0].alias("v0")))
 
 
+def _in_parts(df: DataFrame, order: str, parts: int, path: str, which: range) -> None:
+    """Some of ``parts`` runs of rows in order of a number, each in a folder of its own."""
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    part = F.least(F.floor((F.col(order) - low) * parts / (high - low + 1)), F.lit(parts - 1))
+    for k in which:
+        df.where(part == k).coalesce(1).write.parquet(f"{path}/{k:03d}")
+
+
 def memory_stream(spark, sf):
-    """The event commands applied by a streaming query; equals the batch fold."""
+    """The event commands in six micro-batches with a restart between them, kept as state by slot."""
     root = _scratch(spark, "memory")
     log = _event_log(spark, sf)
-    log.write.parquet(f"{root}/log")
-    stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
-    mem = jobs.MemoryTable(spark, f"{root}/memory", 8, CAPACITY)
-    mem.follow(stream, f"{root}/checkpoint").awaitTermination()
+    mem = keyed.KeyedMemory(spark, f"{root}/memory", 8, CAPACITY)
+    for which in (range(4), range(4, 6)):
+        _in_parts(log, "seq", 6, f"{root}/log", which)
+        stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/log/*")
+        mem.follow(stream, f"{root}/checkpoint")
     return rounded(
         mem.state().select(
             "slot", "forgotten", "seq", F.col("value")[0].alias("v0"), F.col("value")[1].alias("v1"),
@@ -887,14 +896,24 @@ def deep_codecs(spark, sf):
 
 
 def drift_stream(spark, sf):
-    """Fidelity of the stream's micro-batches, here one with all vectors."""
+    """SNR per segment of a hundred vectors that arrive in seven micro-batches, against the first one.
+
+    ``median_near``: the sketch's median stands within 3 % of the middle rank of the segment.
+    """
     root = _scratch(spark, "drift")
-    source = emb(spark, sf)
-    source.write.parquet(f"{root}/vectors")
-    stream = spark.readStream.schema(source.schema).parquet(f"{root}/vectors")
+    df = emb(spark, sf)
     model = LayeredCodec("gain16", DIM).fixed([100.0])
-    jobs.drift_stream(stream, model, f"{root}/facts", f"{root}/checkpoint").awaitTermination()
-    return rounded(spark.read.parquet(f"{root}/facts").select("segment", "n_vectors", "snr_db", "cosine"))
+    segment = F.floor(F.col("vec_id") / 100).cast("bigint")
+    _in_parts(df, "vec_id", 7, f"{root}/vectors", range(7))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/vectors/*")
+    keyed.drift_stream(stream, model, segment, f"{root}/facts", f"{root}/checkpoint").awaitTermination()
+    facts = keyed.read_drift(spark, f"{root}/facts")
+    rows = model.errors(df.select(segment.alias("segment"), "embedding"))
+    row_snr = metrics.snr_db(F.col("signal"), F.col("noise"), F.col("n_values"))
+    rank = F.avg((row_snr <= F.col("median_row_snr")).cast("double"))
+    near = rows.join(facts.select("segment", "median_row_snr"), "segment").groupBy("segment").agg(rank.alias("rank"))
+    out = facts.join(near, "segment").withColumn("median_near", F.abs(F.col("rank") - 0.5) <= 0.03)
+    return rounded(out.select("segment", "n_vectors", "snr_db", "drift_db", "median_near"))
 
 
 QUERIES = {

@@ -1,18 +1,14 @@
-"""Structured Streaming jobs: online encoding, memory upkeep, drift monitoring."""
+"""Online encoding as a streaming job, and drift of a finished table; state is kept in ``keyed.py``."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vecsnap.codecs.base import ModelBase
-from vecsnap.operators.memory import anchor_keys, as_commands, fold, place
 from vecsnap.operators.metrics import summarize
 
-LOG_SCHEMA = "seq bigint, op string, slot bigint, key array<double>, value array<double>"
-STATE_SCHEMA = "slot bigint, key array<double>, value array<double>, forgotten boolean, seq bigint"
-
 
 def encode_stream(
     vectors: DataFrame, model: ModelBase, path: str, checkpoint: str, column: str = "embedding"
@@ -29,86 +25,6 @@ def encode_stream(
     )
 
 
-class MemoryTable:
-    """The memory state as versioned parquet folders, one per applied batch.
-
-    A version is written before its marker, and a replayed batch rewrites its own
-    version, so restarts and lost executors leave one consistent state. The pointer
-    of the ring is the number of stores so far, kept with the marker.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, dim: int, capacity: int = 1024):
-        self.spark, self.path, self.dim, self.capacity = spark, path, dim, capacity
-
-    def _marker(self, before: int | None = None) -> tuple[int, int] | None:
-        try:
-            done = self.spark.read.schema("version bigint, stored bigint").json(f"{self.path}/markers/*")
-            if before is not None:
-                done = done.where(F.col("version") < before)
-            row = done.orderBy(F.desc("version")).first()
-        except Exception as error:  # no marker has been written yet
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            row = None
-        return (row["version"], row["stored"]) if row else None
-
-    def state(self) -> DataFrame:
-        last = self._marker()
-        if last is None:
-            return self.spark.createDataFrame([], STATE_SCHEMA)
-        return self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/state/v{last[0]}")
-
-    def apply(self, batch: DataFrame, version: int) -> None:
-        """Fold one batch of commands over the state before it."""
-        last = self._marker(version)
-        stored = last[1] if last else 0
-        # Placing counts, cuts and folds the batch: one read of the source serves them all.
-        batch = batch.select("seq", "op", F.col("slot").cast("bigint").alias("slot"), "key", "value").persist()
-        try:
-            self._fold(batch, version, last, stored)
-        finally:
-            batch.unpersist()
-
-    def _fold(self, batch: DataFrame, version: int, last: tuple[int, int] | None, stored: int) -> None:
-        log, new = place(batch, self.capacity, stored)
-        if last:
-            before = self.spark.read.schema(STATE_SCHEMA).parquet(f"{self.path}/state/v{last[0]}")
-            log = as_commands(before).unionByName(log)
-        # Snapping is idempotent, so keys of the earlier state pass through unchanged.
-        state = anchor_keys(fold(log), self.dim).select("slot", "key", "value", "forgotten", "seq")
-        state.write.mode("overwrite").parquet(f"{self.path}/state/v{version}")
-        stored += new
-        marker = self.spark.createDataFrame([(version, stored)], "version bigint, stored bigint")
-        marker.coalesce(1).write.mode("overwrite").json(f"{self.path}/markers/v{version}")
-
-    def follow(self, commands: DataFrame, checkpoint: str) -> StreamingQuery:
-        return (
-            commands.writeStream.foreachBatch(lambda df, version: self.apply(df, version))
-            .option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True)
-            .start()
-        )
-
-
-def drift_stream(
-    vectors: DataFrame, model: ModelBase, path: str, checkpoint: str, column: str = "embedding"
-) -> StreamingQuery:
-    """Fidelity of every micro-batch (a segment in arrival order) appended to a table."""
-
-    def write(batch: DataFrame, version: int) -> None:
-        facts = summarize(model.errors(batch.select(column), column))
-        facts.withColumn("segment", F.lit(version)).write.mode("overwrite").parquet(
-            f"{path}/segment={version}"
-        )
-
-    return (
-        vectors.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def drift_by_segment(errors: DataFrame, segment: str) -> DataFrame:
     """SNR per segment and its distance to the first segment."""
     facts = summarize(errors, [segment])
