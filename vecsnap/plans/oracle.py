@@ -541,6 +541,8 @@ SELECT CASE WHEN layer<5 THEN 'key' ELSE 'value' END AS role, layer, count(*) n_
         "cache_flatten": """SELECT 0 AS layer, 0 AS batch, 0 AS head, t.p::INT AS pos, count(*) n_vectors, round(sum(list_sum(embedding[t.p*16+1:t.p*16+16]::DOUBLE[])),6) value_sum FROM embeddings, range(4) t(p) GROUP BY t.p""",
         "chunk_blocks": """SELECT t.b::INT chunk_id, count(*) n, count(*)::BIGINT n_same, (22*count(*))::BIGINT n_values, round(sum(list_sum(embedding[t.b*22+1:t.b*22+22]::DOUBLE[])*(t.b+1)),6) block_sum FROM embeddings, range(3) t(b) GROUP BY t.b""",
         "dim_median_mad": chain(_robust()) + "SELECT k pos, round(mid,9) center, round(dev,9) spread FROM med JOIN mad USING (k)",
+        "refit_median_mad": chain(_robust()) + "SELECT k pos, round(mid,9) center, round(dev,9) spread FROM med JOIN mad USING (k)",
+        "refit_price_quantiles": """SELECT l_returnflag, round(quantile_cont(l_extendedprice,0.001),4) q001, round(quantile_cont(l_extendedprice,0.5),4) q500, round(quantile_cont(l_extendedprice,0.999),4) q999, true read_few, count(*) n, round(avg(l_extendedprice),4) mean FROM lineitem GROUP BY 1""",
         "order_price_quantiles": """SELECT o_orderpriority, round(quantile_cont(o_totalprice,0.001),4) q001, round(quantile_cont(o_totalprice,0.25),4) q250, round(quantile_cont(o_totalprice,0.5),4) q500, round(quantile_cont(o_totalprice,0.999),4) q999 FROM orders GROUP BY 1""",
         "dim_extremes": """SELECT (t.k-1)::INT pos, round(min(embedding[t.k])::DOUBLE,9) lo, round(max(embedding[t.k])::DOUBLE,9) hi, round(avg(embedding[t.k]::DOUBLE),9) mean, round(stddev_pop(embedding[t.k]::DOUBLE),9) dev FROM embeddings, range(1,65) t(k) GROUP BY t.k""",
         "block_moments": """SELECT t.b::INT chunk_id, round(sum(list_avg(embedding[t.b*8+1:t.b*8+8]::DOUBLE[])),6) mean_sum, round(sum(list_stddev_pop(embedding[t.b*8+1:t.b*8+8]::DOUBLE[])),6) dev_sum, round(max(list_stddev_pop(embedding[t.b*8+1:t.b*8+8]::DOUBLE[])),6) dev_max FROM embeddings, range(8) t(b) GROUP BY t.b""",

@@ -19,6 +19,7 @@ from vecsnap.functions import arrays as A
 from vecsnap.functions import bits, lattice
 from vecsnap.operators import cells, entropy, graph, memory, metrics, sampling, search, sets, subspace
 from vecsnap.operators.quantiles import exact_quantiles
+from vecsnap.operators.refit import RefitStore, refit_robust_scale
 from vecsnap.operators.running import running_totals
 from vecsnap.plans import experiments as X
 from vecsnap.session import checkpoint_dir
@@ -142,6 +143,35 @@ def dim_median_mad(spark, sf):
     return rounded(spark.createDataFrame(rows, "pos int, center double, spread double"), 9)
 
 
+def _appended(spark, name: str, df: DataFrame, order: str, value: str, group) -> RefitStore:
+    """A store of the table's values, filled by two appends in order of a number."""
+    store = RefitStore(spark, _scratch(spark, name), slices=48)
+    middle = df.agg((F.min(order) + F.max(order)) / 2).first()[0]
+    for half in (F.col(order) <= middle, F.col(order) > middle):
+        store.append(df.where(half), value, group)
+    return store
+
+
+def refit_median_mad(spark, sf):
+    """Median and deviation of every dimension, refitted from slices after an append."""
+    long = emb(spark, sf).select("vec_id", F.posexplode("embedding").alias("pos", "v"))
+    center, spread = refit_robust_scale(_appended(spark, "refit", long, "vec_id", "v", "pos"))
+    rows = [(i, c, s) for i, (c, s) in enumerate(zip(center, spread))]
+    return rounded(spark.createDataFrame(rows, "pos int, center double, spread double"), 9)
+
+
+def refit_price_quantiles(spark, sf):
+    """Price quantiles per return flag, refitted after an append that a third of the rows at most are read for."""
+    df = table(spark, sf, "lineitem", "l_orderkey", "l_extendedprice", "l_returnflag")
+    store = _appended(spark, "refit", df, "l_orderkey", "l_extendedprice", F.ascii("l_returnflag"))
+    found = store.quantiles([0.001, 0.5, 0.999])
+    few = store.reads.rows * 3 < store.held().rows
+    rows = [(chr(g), *q, few) for g, q in found.items()]
+    facts = store.moments().select(F.char("grp").alias("l_returnflag"), "n", "mean")
+    out = spark.createDataFrame(rows, "l_returnflag string, q001 double, q500 double, q999 double, read_few boolean")
+    return rounded(out.join(facts, "l_returnflag"), 4)
+
+
 def order_price_quantiles(spark, sf):
     df = table(spark, sf, "orders", "o_orderpriority", "o_totalprice")
     q = exact_quantiles(
@@ -920,7 +950,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         e8_snr_by_label, word_vectors, valid_vectors, kv_cache_layout, cache_flatten, chunk_blocks,
-        dim_median_mad, order_price_quantiles, dim_extremes, block_moments, gain_moments,
+        dim_median_mad, refit_median_mad, refit_price_quantiles, order_price_quantiles, dim_extremes, block_moments, gain_moments,
         outlier_block_scales, e8_codes, e8_codes_builtin, nearest_codeword, codeword_decode,
         row_standard_snr, block_mean_snr, scalar_codec, rotated_codec, graph_codec,
         direction_codes, direction_tail_snr, direction_codec,
