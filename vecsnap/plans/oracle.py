@@ -125,6 +125,7 @@ LABEL_MEANS = """
 ml AS (SELECT label, t.k::INT k, avg(v[t.k]) a FROM e, range(1,65) t(k) GROUP BY ALL),
 probes AS (SELECT label::BIGINT q_id, list(a ORDER BY k) q FROM ml GROUP BY label)"""
 
+CUSTOMERS = "m AS (SELECT DISTINCT o_custkey s, l_suppkey x FROM lineitem JOIN orders ON l_orderkey=o_orderkey)"
 MEMBERS = "m AS (SELECT DISTINCT l_orderkey s, l_partkey x FROM lineitem)"
 GRAPH = """ed AS (SELECT DISTINCT least(l_partkey,(-l_suppkey-1)) a, greatest(l_partkey,(-l_suppkey-1)) b FROM lineitem WHERE l_partkey<>(-l_suppkey-1)),
 lk AS (SELECT a v, b w FROM ed UNION ALL SELECT b, a FROM ed)"""
@@ -646,6 +647,17 @@ SELECT b chunk_id, round(sum(list_dot_product(y,y)),6) energy, round(sum(list_su
         "basket_cover_check": chain(MEMBERS, "z AS (SELECT s, count(*) k FROM m GROUP BY s)", "p AS (SELECT a.s, b.s t, count(*) c FROM m a JOIN m b ON a.x=b.x AND a.s<b.s GROUP BY ALL)", "i AS (SELECT count(DISTINCT x) v FROM m)")
         + """SELECT count(*) n_sets, max(v) n_items, min(k) min_size, max(k) max_size, sum(k*(k-1)*(k-2)//6)::BIGINT n_covered, max(v*(v-1)*(v-2)//6)::BIGINT n_possible,
  (SELECT count(*) FROM p WHERE c>=3) n_pairs_sharing, (SELECT count(*) FROM p WHERE c>=3)=0 AND sum(k*(k-1)*(k-2)//6)=max(v*(v-1)*(v-2)//6) exactly_once FROM z, i""",
+        "customer_overlaps": chain(CUSTOMERS, "p AS (SELECT DISTINCT a.s, b.s t FROM m a JOIN m b ON a.x=b.x AND a.s<>b.s)", "k AS (SELECT s, count(*) c FROM p GROUP BY s)", "z AS (SELECT s, count(*) n FROM m GROUP BY s)")
+        + "SELECT s o_custkey, n n_items, coalesce(c,0) n_overlapping, (SELECT count(*) FROM z)-1-coalesce(c,0) n_disjoint FROM z LEFT JOIN k USING (s)",
+        "customer_overlap_histogram": chain(CUSTOMERS, "p AS (SELECT a.s, b.s t, count(*) shared FROM m a JOIN m b ON a.x=b.x AND a.s<b.s GROUP BY ALL)", "n AS (SELECT count(DISTINCT s) n FROM m)")
+        + "SELECT * FROM (SELECT shared::INT shared, count(*) n_pairs FROM p GROUP BY shared UNION ALL SELECT 0, max(n)*(max(n)-1)//2-(SELECT count(*) FROM p) FROM n) WHERE n_pairs>0",
+        "basket_cover_ranges": chain(
+            MEMBERS, "nm AS (SELECT x, row_number() OVER (ORDER BY x)-1 c FROM (SELECT DISTINCT x FROM m))", "v AS (SELECT count(*) v FROM nm)", "mc AS (SELECT s, c FROM m JOIN nm USING (x))",
+            "t AS (SELECT a.c + b.c*(b.c-1)//2 + d.c*(d.c-1)*(d.c-2)//6 r, count(*) times FROM mc a JOIN mc b ON a.s=b.s AND a.c<b.c JOIN mc d ON d.s=b.s AND b.c<d.c GROUP BY 1)",
+            "i AS (SELECT r, times, r-row_number() OVER (PARTITION BY times ORDER BY r) g FROM t)", "cv AS (SELECT times, min(r) f, max(r) l FROM i GROUP BY times, g)",
+            "o AS (SELECT r, lag(r, 1, -1) OVER (ORDER BY r) q FROM (SELECT r FROM t UNION ALL SELECT v*(v-1)*(v-2)//6 FROM v))",
+            "al AS (SELECT * FROM cv UNION ALL SELECT 0, q+1, r-1 FROM o WHERE r>q+1)",
+        ) + "SELECT times, count(*) n_ranges, sum(l-f+1)::BIGINT n_triples, max(l-f+1) longest, min(f) lowest, max(l) highest FROM al GROUP BY times",
         "incidence_counts": chain(MEMBERS) + "SELECT 'item' per, n, count(*) times FROM (SELECT count(*) n FROM m GROUP BY x) GROUP BY n UNION ALL SELECT 'set', n, count(*) FROM (SELECT count(*) n FROM m GROUP BY s) GROUP BY n",
         "order_codewords": _words(),
         "common_neighbours": chain(GRAPH, "nd AS (SELECT DISTINCT v a, v+1 b FROM lk)", "h AS (SELECT nd.a, nd.b, count(*) n FROM nd JOIN lk p ON p.v=nd.a JOIN lk q ON q.v=nd.b AND q.w=p.w GROUP BY ALL)")

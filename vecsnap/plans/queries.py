@@ -577,6 +577,32 @@ def basket_cover_check(spark, sf):
     return sets.cover_check(table(spark, sf, "lineitem", "l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
 
 
+def customer_overlaps(spark, sf):
+    """Customers by suppliers they buy from, dozens each: how many others share none or some of them."""
+    orders = table(spark, sf, "orders", "o_orderkey", "o_custkey")
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_suppkey")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey")
+    return sets.disjoint_partners(rows, "o_custkey", "l_suppkey")
+
+
+def customer_overlap_histogram(spark, sf):
+    """Pairs of customers by how many suppliers they share."""
+    orders = table(spark, sf, "orders", "o_orderkey", "o_custkey")
+    lines = table(spark, sf, "lineitem", "l_orderkey", "l_suppkey")
+    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "l_suppkey")
+    return sets.overlap_histogram(rows, "o_custkey", "l_suppkey")
+
+
+def basket_cover_ranges(spark, sf):
+    """Triples of parts by how many orders hold them: ranges of ranks, their sum, the longest."""
+    ranges = sets.cover_ranges(table(spark, sf, "lineitem", "l_orderkey", "l_partkey"), "l_orderkey", "l_partkey")
+    length = F.col("last") - F.col("first") + 1
+    return ranges.groupBy("times").agg(
+        F.count(F.lit(1)).alias("n_ranges"), F.sum(length).alias("n_triples"), F.max(length).alias("longest"),
+        F.min("first").alias("lowest"), F.max("last").alias("highest"),
+    )
+
+
 def incidence_counts(spark, sf):
     li = table(spark, sf, "lineitem", "l_orderkey", "l_partkey")
     per_item = sets.incidence(li, "l_orderkey", "l_partkey", "item").select(F.lit("item").alias("per"), "n")
@@ -958,7 +984,8 @@ QUERIES = {
         stage_residuals, payload_sums, hot_chunks, hotblock_codes, hotblock_codec,
         knn_of_label_means, recall_at_10, needle_lookup, knn_of_rebuilt, cell_search_work, qk_fidelity,
         memory_latest_state, memory_retrieve, memory_stream, encode_stream,
-        basket_disjoint_partners, basket_overlap_histogram, basket_cover_check, incidence_counts,
+        basket_disjoint_partners, basket_overlap_histogram, basket_cover_check, customer_overlaps,
+        customer_overlap_histogram, basket_cover_ranges, incidence_counts,
         order_codewords, common_neighbours, graph_degrees, graph_regularity, product_statistics,
         energy_rank, running_drift, drift_by_segment,
         sampled_rows, shuffled_rows, position_split, noise_vectors,
