@@ -673,6 +673,17 @@ SELECT b chunk_id, round(sum(list_dot_product(y,y)),6) energy, round(sum(list_su
         ) + """SELECT (SELECT n FROM k) n_vertices, (SELECT count(*) FROM ed) n_edges, (SELECT min(d) FROM dg) degree_min, (SELECT max(d) FROM dg) degree_max,
  (SELECT min(c) FROM la) lambda_min, (SELECT max(c) FROM la) lambda_max, round(mean,6) mu_mean, round(var,6) mu_variance,
  (SELECT min(d)=max(d) FROM dg) AND (SELECT min(c)=max(c) FROM la) AND var<1e-9 strongly_regular FROM ms""",
+        "neighbour_counts": chain(
+            GRAPH, "w2 AS (SELECT p.w a, q.w b, count(*) c FROM lk p JOIN lk q ON p.v=q.v AND p.w<q.w GROUP BY ALL)",
+            "ct AS (SELECT ed.a IS NOT NULL adjacent, c shared, count(*) n_pairs FROM w2 LEFT JOIN ed USING (a,b) GROUP BY ALL)",
+            "k AS (SELECT count(DISTINCT v) n FROM lk)", "al AS (SELECT true adjacent, count(*) m FROM ed UNION ALL SELECT false, max(n)*(max(n)-1)//2-(SELECT count(*) FROM ed) FROM k)",
+        ) + """SELECT adjacent, shared, n_pairs FROM ct UNION ALL
+SELECT adjacent, 0, m-coalesce((SELECT sum(n_pairs) FROM ct WHERE ct.adjacent=al.adjacent),0)::BIGINT FROM al WHERE m>coalesce((SELECT sum(n_pairs) FROM ct WHERE ct.adjacent=al.adjacent),0)""",
+        "product_values": chain(RAW, "p AS (SELECT b.vec_id-a.vec_id=1 adj, list_dot_product(a.v,b.v) ip FROM e a JOIN e b ON a.vec_id<b.vec_id)")
+        + "SELECT adj adjacent, round(ip,2)+0.0 product, count(*) n_pairs FROM p GROUP BY ALL",
+        "graph_spectrum": """WITH g AS (SELECT vec_id//10 k, count(*) m FROM embeddings GROUP BY 1)
+SELECT round(sqrt(m),6) eigenvalue, count(*) multiplicity FROM g GROUP BY m UNION ALL SELECT -round(sqrt(m),6), count(*) FROM g GROUP BY m
+UNION ALL SELECT 0.0::DOUBLE, sum(m-1)::BIGINT FROM g HAVING sum(m-1)>0""",
         "product_statistics": chain(RAW, "p AS (SELECT b.vec_id-a.vec_id=1 adj, list_dot_product(a.v,b.v) ip FROM e a JOIN e b ON a.vec_id<b.vec_id)")
         + "SELECT adj adjacent, count(*) n_pairs, round(avg(ip),6) mean, round(stddev_pop(ip),6) deviation FROM p GROUP BY adj",
         "energy_rank": chain("d AS (SELECT (t.k-1)::INT pos, sum(embedding[t.k]::DOUBLE*embedding[t.k]::DOUBLE) en FROM embeddings, range(1,65) t(k) GROUP BY t.k)",

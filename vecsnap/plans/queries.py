@@ -17,7 +17,7 @@ from vecsnap.codecs.scalar import (
 )
 from vecsnap.functions import arrays as A
 from vecsnap.functions import bits, lattice
-from vecsnap.operators import cells, entropy, graph, memory, metrics, sampling, search, sets, subspace
+from vecsnap.operators import cells, entropy, graph, memory, metrics, sampling, search, sets, spectrum, subspace
 from vecsnap.operators.quantiles import exact_quantiles
 from vecsnap.operators.refit import RefitStore, refit_robust_scale
 from vecsnap.operators.running import running_totals
@@ -644,6 +644,24 @@ def graph_regularity(spark, sf):
     return rounded(graph.regularity(_trade_graph(spark, sf)))
 
 
+def neighbour_counts(spark, sf):
+    """All pairs of parts and suppliers by adjacency and number of common neighbours."""
+    return spectrum.neighbour_histogram(_trade_graph(spark, sf))
+
+
+def product_values(spark, sf):
+    """Inner products of all pairs of vectors at two digits, consecutive vectors apart from the others."""
+    df = emb(spark, sf)
+    pairs = df.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"))
+    return spectrum.rounded_products(df, pairs, "vec_id", "embedding", DIM, digits=2)
+
+
+def graph_spectrum(spark, sf):
+    """Eigenvalues of the graph that links every vector to its group of ten consecutive ids."""
+    edges = emb(spark, sf).select((-1 - F.floor(F.col("vec_id") / 10)).cast("bigint").alias("a"), F.col("vec_id").alias("b"))
+    return spectrum.eigenvalues(edges)
+
+
 def product_statistics(spark, sf):
     """Inner products of consecutive vectors against all other pairs."""
     df = emb(spark, sf)
@@ -986,7 +1004,8 @@ QUERIES = {
         memory_latest_state, memory_retrieve, memory_stream, encode_stream,
         basket_disjoint_partners, basket_overlap_histogram, basket_cover_check, customer_overlaps,
         customer_overlap_histogram, basket_cover_ranges, incidence_counts,
-        order_codewords, common_neighbours, graph_degrees, graph_regularity, product_statistics,
+        order_codewords, common_neighbours, graph_degrees, graph_regularity, neighbour_counts, product_values,
+        graph_spectrum, product_statistics,
         energy_rank, running_drift, drift_by_segment,
         sampled_rows, shuffled_rows, position_split, noise_vectors,
         lattice_products, energy_subspace, storage_footprint, cache_sizes, graph_codec_rates,
