@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -35,6 +36,61 @@ def code_entropy(codes: DataFrame, by: Sequence[str] = ("stage",)) -> DataFrame:
     )
 
 
+# Codes counted exactly by the quick entropy: a hash sample of distinct codes, and frequent ones.
+SAMPLE_CODES, FREQUENT_CODES, SAMPLE_ROWS = 16_384, 4_096, 65_536
+
+
+def quick_entropy(
+    codes: DataFrame, key: Sequence[str] = CODE_KEY, sample_codes: int = SAMPLE_CODES, sigmas: float = 5.0
+) -> DataFrame:
+    """Entropy of a very large code set without counting every code, and a bound of its error.
+
+    One row: n_codes, about_distinct, entropy_bits, error_bits. A row sample proposes frequent codes,
+    which are counted exactly. Of the others, those whose hash falls below a cut-off are counted
+    exactly; their ``sum c log2 c`` is scaled up by the share of hashes (the coverage). The bound is
+    ``sigmas`` deviations of that estimate, and 0 where every code was counted. Only codes below the
+    cut-off and rows of frequent codes are exchanged; all parts merge map side.
+    """
+    rows = codes.select(*key)
+    hashed = F.shiftrightunsigned(F.xxhash64(*key), 1)
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct(F.xxhash64(*key), 0.02).alias("d")).first()
+    n, about = facts["n"], facts["d"]
+    fields = "n_codes bigint, about_distinct bigint, entropy_bits double, error_bits double"
+    if not n:
+        return codes.sparkSession.createDataFrame([(0, 0, 0.0, 0.0)], fields)
+    share = 1.0 if about <= sample_codes else sample_codes / about
+    frequent = None
+    if share < 1.0:
+        some = rows.where(F.rand(11) < min(1.0, SAMPLE_ROWS / n))
+        top = some.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 8").orderBy(F.desc("c"), *key).limit(FREQUENT_CODES)
+        found = top.select(*key).collect()
+        if found:
+            frequent = codes.sparkSession.createDataFrame(found, rows.schema).withColumn("_f", F.lit(True))
+            frequent = frequent.withColumnsRenamed({c: f"_{i}" for i, c in enumerate(key)})
+            same = functools.reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{i}")) for i, c in enumerate(key)])
+            rows = rows.join(F.broadcast(frequent), same, "left")
+    if frequent is None:
+        rows = rows.withColumn("_f", F.lit(None).cast("boolean"))
+    kept = rows.where(F.col("_f") | (hashed < F.lit(min(int(share * 2.0**63), 2**63 - 1))))
+    c = F.col("c").cast("double")
+    f = c * F.log2(c)
+    sums = (
+        kept.groupBy(*key, "_f").agg(F.count(F.lit(1)).alias("c"))
+        .groupBy(F.coalesce("_f", F.lit(False)).alias("frequent"))
+        .agg(F.sum(f).alias("s"), F.sum(f * f).alias("q"), F.max(f).alias("top"))
+        .collect()
+    )
+    total = variance = top = 0.0
+    for r in sums:
+        whole = r["frequent"] or share == 1.0
+        total += r["s"] if whole else r["s"] / share
+        if not whole:
+            variance, top = r["q"] * (1 - share) / share**2, r["top"] / share
+    error = 0.0 if share == 1.0 else (sigmas * variance**0.5 + top) / n
+    bits = max(0.0, math.log2(n) - total / n)
+    return codes.sparkSession.createDataFrame([(n, about, bits, error)], fields)
+
+
 def storage_footprint(
     vectors: DataFrame, column: str, by: Sequence[str], coded_bpd: float = 2.2
 ) -> DataFrame:

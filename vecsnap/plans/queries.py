@@ -364,6 +364,20 @@ def code_entropy(spark, sf):
     return rounded(entropy.code_entropy(LayeredCodec("gain16", DIM).fixed([1.0]).code_rows(df)))
 
 
+def quick_entropy(spark, sf):
+    """Entropy of the words of all events' properties and values, sampled by hash, against the exact one."""
+    ev = table(spark, sf, "events", "user_id", "event_type", "value").select(
+        F.concat_ws("/", "user_id", "event_type", F.floor("value")).alias("code")
+    )
+    quick = entropy.quick_entropy(ev, ["code"], sample_codes=512)
+    counts = ev.groupBy("code").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    exact = counts.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log2("c")).alias("s"))
+    exact = exact.select((F.log2("n") - F.col("s") / F.col("n")).alias("exact_bits"), F.lit(1).alias("one"))
+    out = quick.withColumn("one", F.lit(1)).join(exact, "one")
+    within = F.abs(F.col("entropy_bits") - F.col("exact_bits")) <= F.col("error_bits") + 1e-9
+    return rounded(out.select("n_codes", "exact_bits", within.alias("inside"), (F.col("error_bits") < 0.5).alias("useful")))
+
+
 def stage_residuals(spark, sf):
     model = LayeredCodec("gain16", DIM, 2).fit(emb(spark, sf))
     out = fit_stage_energies(model, emb(spark, sf))
@@ -998,7 +1012,7 @@ QUERIES = {
         outlier_block_scales, e8_codes, e8_codes_builtin, nearest_codeword, codeword_decode,
         row_standard_snr, block_mean_snr, scalar_codec, rotated_codec, graph_codec,
         direction_codes, direction_tail_snr, direction_codec,
-        block_codec, gain16_codec, sparse_codec, dual_codec, dual_codec_deep, code_entropy,
+        block_codec, gain16_codec, sparse_codec, dual_codec, dual_codec_deep, code_entropy, quick_entropy,
         stage_residuals, payload_sums, hot_chunks, hotblock_codes, hotblock_codec,
         knn_of_label_means, recall_at_10, needle_lookup, knn_of_rebuilt, cell_search_work, qk_fidelity,
         memory_latest_state, memory_retrieve, memory_stream, encode_stream,
