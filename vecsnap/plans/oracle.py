@@ -204,8 +204,13 @@ def _dense_rate(norm: str, meta: float) -> str:
 
 
 def _sparse_batch() -> str:
-    """Scales and density from the even ids, cut-off, rate and fidelity of the odd ones."""
-    meta, even, odd = (32 + 8 * 4 + 8) / 64, "vec_id%2=0", "vec_id%2=1"
+    """Both halves as batches of their own."""
+    return " UNION ALL ".join(f"SELECT {half}::INT half, * FROM ({_sparse_half(half)})" for half in (0, 1))
+
+
+def _sparse_half(half: int) -> str:
+    """Scales and density from the even ids, cut-off, rate and fidelity of one half."""
+    meta, even, odd = (32 + 8 * 4 + 8) / 64, "vec_id%2=0", f"vec_id%2={half}"
     return (
         chain(
             blocks_gain(16), fitted_scale(0, even), stage(0), fitted_scale(1, even), stage(1),

@@ -964,11 +964,14 @@ def first_words(spark, sf):
 
 
 def sparse_codec_batch(spark, sf):
-    """Fitted on the even ids; the odd ones are coded with the cut-off of their own energies."""
-    df = emb(spark, sf)
+    """Fitted on the even ids; both halves are coded, each with the cut-off of its own energies."""
+    df, out = emb(spark, sf), None
     model = LayeredCodec("sparse", DIM, 2, 3.0).fit(df.where("vec_id % 2 = 0"))
-    rest = df.where("vec_id % 2 = 1")
-    return _rate(model.with_batch_cutoffs(rest, "embedding"), rest)
+    for half in (0, 1):
+        batch = df.where(F.col("vec_id") % 2 == half)
+        rate = _rate(model.with_batch_cutoffs(batch, "embedding"), batch).withColumn("half", F.lit(half))
+        out = rate if out is None else out.unionByName(rate)
+    return out
 
 
 def deep_codecs(spark, sf):
