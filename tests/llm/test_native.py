@@ -123,6 +123,9 @@ def test_secrets(spark, docs):
         (904, "password=token: abcdefgh AKIA AKIAKIA" + "Z" * 20, "en", "b", 1),
     ]
     extra += [(910 + i, f"sample ghp_{key}0{'a1' * 8}", "en", f"owner{i}", 1) for i in range(5)]
+    # One owner, many documents: an example too; a handful of documents is not.
+    extra += [(1000 + i, f"copied ghp_{key}3{'c3' * 8}", "en", "one", 1) for i in range(40)]
+    extra += [(1100 + i, f"few ghp_{key}4{'d4' * 8}", "en", "one", 1) for i in range(3)]
     extra += [(930, f"mine ghp_{key}1{'b2' * 8}", "en", "one", 1)]
     table = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     rows, out = table.collect(), secrets.scan(table).collect()
@@ -141,6 +144,10 @@ def test_secrets(spark, docs):
     # The copied example is not reported, the one owner's value is.
     assert got[912]["spans"] == "" and got[912]["n_example"] == 1
     assert got[930]["spans"].startswith("token:5:") and got[930]["n_live"] == 1
+    for i in range(40):
+        assert (got[1000 + i]["spans"], got[1000 + i]["n_owners"], got[1000 + i]["n_repositories"]) == ("", 1, 40)
+    assert all(got[1100 + i]["n_live"] == 1 and got[1100 + i]["n_repositories"] == 3 for i in range(3))
+    assert (got[912]["n_owners"], got[912]["n_repositories"]) == (5, 5)
 
 
 def features(text):

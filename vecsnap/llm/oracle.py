@@ -7,7 +7,7 @@ and the tokenizer queries; tests compare those with plain Python and the tokeniz
 from __future__ import annotations
 
 from vecsnap.llm.quality import ACCURACY, PRIOR, ROUNDS, THRESHOLD
-from vecsnap.llm.secrets import BASE, OWNERS, WIDE
+from vecsnap.llm.secrets import BASE, OWNERS, REPOSITORIES, WIDE
 
 DOCS = r"""d AS (SELECT doc_id, source, coalesce(text,'') t, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') w
   FROM documents)"""
@@ -80,12 +80,14 @@ b AS (SELECT * FROM x WHERE rank < 3),
 o AS (SELECT * FROM x a WHERE rank = 3 AND NOT EXISTS (FROM b WHERE {over})),
 q AS (SELECT * FROM b UNION ALL SELECT * FROM o),
 y AS (SELECT * FROM q UNION ALL SELECT * FROM x a WHERE rank = 4 AND random AND NOT EXISTS (FROM q b WHERE {over})),
-w AS (SELECT val, count(DISTINCT coalesce('s' || source, '')) owners FROM y GROUP BY val),
-z AS (SELECT y.*, random AND owners <= {OWNERS} live FROM y JOIN w USING (val)),
+w AS (SELECT val, count(DISTINCT owner) owners, count(*) places FROM
+  (SELECT DISTINCT val, coalesce('s' || source, '') owner, doc_id FROM y) GROUP BY val),
+z AS (SELECT y.*, owners, places, random AND owners <= {OWNERS} AND places <= {REPOSITORIES} * owners live FROM y JOIN w USING (val)),
 r AS (SELECT doc_id, {counts}, {text} FILTER (rank < 3) base, {text} FILTER (rank < 3 OR live) spans,
-  count(*) FILTER (live) n_live, count(*) FILTER (NOT live) n_example FROM z GROUP BY doc_id)
+  count(*) FILTER (live) n_live, count(*) FILTER (NOT live) n_example, max(owners) n_owners, max(places) n_repositories FROM z GROUP BY doc_id)
 SELECT doc_id, {', '.join(f'coalesce(n_{k}, 0) n_{k}' for k, *_ in BASE)}, sha256(coalesce(base, '')) base_sha256,
-  coalesce(spans, '') spans, coalesce(n_live, 0) n_live, coalesce(n_example, 0) n_example FROM d LEFT JOIN r USING (doc_id)"""
+  coalesce(spans, '') spans, coalesce(n_live, 0) n_live, coalesce(n_example, 0) n_example,
+  coalesce(n_owners, 0) n_owners, coalesce(n_repositories, 0) n_repositories FROM d LEFT JOIN r USING (doc_id)"""
 
 
 def _quality() -> str:

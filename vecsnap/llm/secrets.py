@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership of every candidate.
 
 Candidates are matched by pattern; each one's value is hashed, and the hash is counted over all
-documents by distinct owner and distinct repository. A value that many owners carry is a copied
-example; one that belongs to at most ``OWNERS`` owners and looks random is a live credential. The
+documents by distinct owner and distinct repository. A value that many owners carry, or few owners in
+many repositories each, is a copied example; one of at most ``OWNERS`` owners with at most ``REPOSITORIES``
+repositories for each of them is a live credential if it looks random. The
 base kinds (assign, access, hex) are always reported; the wider kinds (token, mixed) only where
 ownership calls them live.
 
@@ -34,7 +35,7 @@ WIDE = [
     ("token", "(?:gh[opsu]_|xox[abprs]-|sk-|sk_live_|glpat-|eyJ)[A-Za-z0-9_.-]{16,}", 0, 20),
     ("mixed", "[A-Za-z0-9+/_-]{24,}", 0, 24),
 ]
-OWNERS = 2
+OWNERS, REPOSITORIES = 2, 5
 BLOCK = 64
 
 
@@ -91,8 +92,13 @@ def random_looking(value: Column) -> Column:
     return has("[0-9]") & has("[a-z]") & (has("[A-Z]") | has("^[0-9a-f]+$"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = OWNERS) -> DataFrame:
-    """Per document: counts per base kind, base_sha256, spans, n_live, n_example."""
+def scan(
+    docs: DataFrame, owner: str = "source", repository: str = "doc_id", owners: int = OWNERS, repositories: int = REPOSITORIES
+) -> DataFrame:
+    """Per document: counts per base kind, base_sha256, spans, n_live, n_example, n_owners, n_repositories.
+
+    The last two are the largest counts of any value in the document, 0 without one.
+    """
     names = ["assign", "access", "hex"]
     text = F.col("_text")
     rows = docs.select(
@@ -131,7 +137,8 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", own
     each = each.select("_row", "_owner", "_repository", "x.*")
     per_owner = each.select("hash", "_owner", "_repository").distinct().groupBy("hash", "_owner").agg(F.count(F.lit(1)).alias("n"))
     ownership = per_owner.groupBy("hash").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n_repositories"))
-    live = F.col("random") & (F.col("n_owners") <= owners)
+    few = F.col("n_repositories") <= repositories * F.col("n_owners")
+    live = F.col("random") & (F.col("n_owners") <= owners) & few
     judged = each.join(ownership, "hash").withColumn("live", live)
     span = F.struct("start", "rank", "kind", "end")
     shown = (F.col("rank") < len(BASE)) | F.col("live")
@@ -140,11 +147,13 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", own
         F.collect_set(F.when(shown, span)).alias("_spans"),
         F.count_distinct(F.when(F.col("live"), F.struct("start", "rank"))).alias("n_live"),
         F.count_distinct(F.when(~F.col("live"), F.struct("start", "rank"))).alias("n_example"),
+        F.max("n_owners").alias("n_owners"),
+        F.max("n_repositories").alias("n_repositories"),
     )
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     return found.join(per_row, "_row", "left").select(
         "doc_id", *[f"n_{k}" for k in names], "base_sha256",
         joined(F.coalesce("_spans", none)).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
-        F.coalesce("n_example", F.lit(0)).alias("n_example"),
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_example", "n_owners", "n_repositories")],
     )
