@@ -332,7 +332,9 @@ def _linked(docs: DataFrame, region_docs: int, every: bool) -> tuple[DataFrame,
     candidates = stored(near.select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "candidates")
     clusters = components(candidates).withColumnRenamed("root", "region")
     keys = sets.groupBy("node").agg(F.min("text_key").alias("text_key"))
-    regions = stored(_sets(docs, clusters.join(keys, "node")), "regions")
+    # Rows with one id and text share a key; each set is in its region once, whatever its copies.
+    every_row = _sets(docs, clusters.join(keys, "node"))
+    regions = stored(every_row.groupBy("region", "node").agg(F.first("shingles").alias("shingles")), "regions")
 
     edges, level = None, 0
     while True:
