@@ -32,7 +32,7 @@ LONG_WORD = 200
 CACHE_WORDS = 200_000
 NO_RANK = np.iinfo(np.int64).max
 # Characters of text handled at once in a worker.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 class Pieces:
@@ -246,22 +246,21 @@ def encode(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = _pieces(shared.value)
         for batch in batches:
-            ids, decoded = [], []
+            done = 0
             for texts in _slices(batch["text"]):
-                part = pieces.encode(texts)
-                ids += part
-                decoded += [hashlib.sha256(pieces.decode(x).encode()).hexdigest() for x in part]
-            out = pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": decoded,
-                }
-            )
-            if with_ids:
-                out["ids"] = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
-            yield out
+                ids = pieces.encode(texts)
+                out = pd.DataFrame(
+                    {
+                        "doc_id": batch["doc_id"].iloc[done : done + len(texts)],
+                        "n_tokens": [len(x) // 4 for x in ids],
+                        "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
+                        "decoded_sha256": [hashlib.sha256(pieces.decode(x).encode()).hexdigest() for x in ids],
+                    }
+                )
+                if with_ids:
+                    out["ids"] = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in ids]
+                done += len(texts)
+                yield out
 
     fields = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
