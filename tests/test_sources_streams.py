@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from test_operators import LOG, random_log, replay, same_memory
 from vecsnap.codecs.layered import LayeredCodec
 from vecsnap.operators import metrics
 from vecsnap.sources import results, vectors as V
