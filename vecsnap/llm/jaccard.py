@@ -113,7 +113,17 @@ class Region:
         return pairs[pairs[:, 0] != pairs[:, 1]]
 
 
-def _shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _gaps(values: np.ndarray) -> bytes:
+    """Sorted 32-bit numbers as their gaps, high bytes first and apart, so that a shuffle compresses them."""
+    return np.diff(values, prepend=np.uint32(0)).astype(">u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_gaps(data: np.ndarray) -> np.ndarray:
+    gaps = np.ascontiguousarray(data.reshape(4, -1).T).view(">u4").reshape(-1)
+    return np.cumsum(gaps, dtype=np.uint64).astype(np.uint32)
+
+
+def _shared_shingles(docs: DataFrame, by_gaps: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """A bitmap of shingles that more than one row holds, and rough levels of their frequency.
 
     Every row's distinct shingles go, as 32-bit prefixes of their hashes, to the task of their
@@ -130,7 +140,8 @@ def _shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             values = np.sort(np.concatenate(held) if held else np.zeros(0, dtype=np.uint32))
             cuts = np.searchsorted(values >> np.uint32(32 - bits), np.arange((1 << bits) + 1))
             used = np.flatnonzero(np.diff(cuts))
-            blobs = [values[cuts[k] : cuts[k + 1]].tobytes() for k in used.tolist()]
+            parts = [values[cuts[k] : cuts[k + 1]] for k in used.tolist()]
+            blobs = [_gaps(x) if by_gaps else x.tobytes() for x in parts]
             return pa.RecordBatch.from_pydict({"slice": pa.array(used, pa.int32()), "held": pa.array(blobs, pa.binary())})
 
         for batch in batches:
@@ -144,7 +155,11 @@ def _shared_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def count(group: pa.Table) -> pa.Table:
         number = group["slice"][0].as_py()
-        values = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in group["held"]]))
+        if by_gaps:
+            parts = [_from_gaps(np.frombuffer(x.as_buffer(), dtype=np.uint8)) for x in group["held"]]
+        else:
+            parts = [np.frombuffer(x.as_buffer(), dtype=np.uint32) for x in group["held"]]
+        values = np.sort(np.concatenate(parts))
         first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
         n = np.diff(np.r_[first, len(values)])
         values, n = values[first][n > 1], n[n > 1]
