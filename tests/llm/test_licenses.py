@@ -78,3 +78,13 @@ def test_published_layouts():
         # Lines with license words ahead take no lines from the statement.
         (found,) = tool.scan("see copyright\n" * 20 + wrap(text), candidate)
         assert found[2:4] == (name, 0) and found[0] == 20
+
+
+def test_compression_selects():
+    """Of statements that overlap, the one that its template compresses most counts, in any case and layout."""
+    short, long = "a b c d e f license", "license extraordinary documentation distribution"
+    tool, candidate = licenses.Templates({"short": [short], "long": [long]}), re.compile(licenses.CANDIDATE)
+    for text in (f"a b c d e f {long}", f"A B C D E F {long.upper()}"):
+        (found,) = tool.scan(text, candidate)
+        assert found[2] == "long" and found[8]
+    assert [r[2] for r in tool.scan(f"{short}\n{long}", candidate)] == ["short", "long"]
