@@ -62,3 +62,22 @@ def test_eigenvalues(spark):
     assert out == {(4.0, 1), (2.0, 4), (0.0, 6), (-2.0, 4), (-4.0, 1)}
     with pytest.raises(ValueError):
         spectrum.eigenvalues(edge_table(spark, random_graph(40, 2, 1)), most=4).collect()
+
+
+@pytest.mark.parametrize("products, bins", [(1 << 16, 1 << 18), (64, 1)])
+def test_products_in_few_blocks(spark, monkeypatch, products, bins):
+    """Large tables are cut into a bounded number of blocks; counts by number and by sorting agree with all pairs."""
+    seen, block_pairs = [], spectrum._block_pairs
+    monkeypatch.setattr(spectrum, "_block_pairs", lambda rows, key, blocks: seen.append(blocks) or block_pairs(rows, key, blocks))
+    for name, value in dict(BLOCK_VERTICES=8, PRODUCT_BLOCKS=3, PRODUCTS=products, MOST_BINS=bins).items():
+        monkeypatch.setattr(spectrum, name, value)
+    x = np.random.default_rng(2).normal(size=(60, 4)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+    pairs = spark.createDataFrame([(3, 4), (4, 3), (5, 50), (7, 7), (9, None), (1, 900)], "a long, b long")
+    got = {(r["adjacent"], r["product"]): r["n_pairs"] for r in spectrum.rounded_products(df, pairs, "id", "v", 4, digits=1).collect()}
+    want: dict = {}
+    for i in range(60):
+        for j in range(i + 1, 60):
+            key = ((i, j) in ((3, 4), (5, 50)), float(np.round(x[i].astype(float) @ x[j].astype(float), 1) + 0.0))
+            want[key] = want.get(key, 0) + 1
+    assert got == want and seen == [3]

@@ -19,6 +19,9 @@ from vecsnap.session import written
 
 # Above this degree a vertex is a hub; beyond MAX_HUBS hubs the limit rises.
 HUB_DEGREE, MAX_HUBS, BLOCK_VERTICES = 256, 4096, 2048
+# Blocks into which a table of vectors is cut, while these have no more vectors than the limit;
+# products that a task counts at once, and distinct rounded values that it counts by number.
+PRODUCT_BLOCKS, MAX_BLOCK, PRODUCTS, MOST_BINS = 48, 65_536, 1 << 16, 1 << 18
 
 
 def _block_pairs(rows: DataFrame, key: str, blocks: int) -> DataFrame:
@@ -105,43 +108,66 @@ def neighbour_histogram(
 
 
 def rounded_products(
-    vectors: DataFrame, pairs: DataFrame, id_col: str, column: str, dim: int, digits: int = 6, block_vertices: int = BLOCK_VERTICES
+    vectors: DataFrame, pairs: DataFrame, id_col: str, column: str, dim: int, digits: int = 6, block_vertices: int | None = None
 ) -> DataFrame:
     """``(adjacent, product, n_pairs)``: rounded inner products of all pairs of vectors and how often they occur.
 
     ``pairs (a, b)`` are the adjacent ones, in any direction; ids are distinct. Each pair of blocks is
     a task that counts its own products, so only distinct values of a task are exchanged.
     """
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("vertex"), F.col(column).cast("array<double>").alias("v"))
-    blocks = max(1, -(-rows.count() // block_vertices))
+    kind = vectors.schema[column].dataType.simpleString()
+    # Floats travel as they are; products are those of doubles either way.
+    v = F.col(column) if kind == "array<float>" else F.col(column).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vertex"), v.alias("v"))
+    n = rows.count()
+    block_vertices = block_vertices or min(MAX_BLOCK, max(BLOCK_VERTICES, -(-n // PRODUCT_BLOCKS)))
+    blocks = max(1, -(-n // block_vertices))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
     ends = pairs.select(F.col("a").cast("bigint").alias("a"), F.col("b").cast("bigint").alias("b")).distinct()
     near = ends.select("a", "b", F.least(block("a"), block("b")).alias("oi"), F.greatest(block("a"), block("b")).alias("oj"))
+    scale = 10.0**digits
+
+    def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct rounded products and how often they occur; few of them are counted by number."""
+        low, high = (keys.min(), keys.max()) if keys.size else (0.0, 0.0)
+        if not high - low < MOST_BINS:
+            return np.unique(keys, return_counts=True)
+        times = np.bincount((keys - low).astype(np.int64).reshape(-1))
+        held = np.flatnonzero(times)
+        return held + low, times[held]
 
     def count(vectors: pa.Table, near: pa.Table) -> pa.Table:
         x, names = to_matrix(vectors.column("v").combine_chunks(), dim), vectors.column("vertex").to_numpy()
         first, second = (np.flatnonzero(vectors.column(c).to_numpy(zero_copy_only=False)) for c in ("first", "second"))
         same = np.array_equal(first, second)
-        flag = np.zeros((len(first), len(second)), dtype=bool)
         at = [dict(zip(names[side].tolist(), range(len(side)))) for side in (first, second)]
+        marked = set()
         for a, b in zip(near.column("a").to_pylist(), near.column("b").to_pylist()):
             for p, q in ((a, b), (b, a)):
-                if p in at[0] and q in at[1]:
-                    flag[at[0][p], at[1][q]] = True
+                if p in at[0] and q in at[1] and not (same and at[0][p] >= at[1][q]):
+                    marked.add((at[0][p], at[1][q]))
+        flagged = np.array(sorted(marked), dtype=np.int64).reshape(-1, 2)
         found: dict[tuple[bool, float], int] = {}
-        for k, row in enumerate(first):
-            start = k + 1 if same else 0
-            products = np.round(x[second[start:]] @ x[row], digits) + 0.0
-            for f in (False, True):
-                values, times = np.unique(products[flag[k, start:] == f], return_counts=True)
-                for value, m in zip(values.tolist(), times.tolist()):
-                    found[f, value] = found.get((f, value), 0) + m
+        right, step = x[second].T, max(1, PRODUCTS // max(1, len(second)))
+        for low in range(0, len(first), step):
+            keys = x[first[low : low + step]] @ right
+            keys *= scale
+            np.rint(keys, out=keys)
+            r, c = flagged[slice(*np.searchsorted(flagged[:, 0], (low, low + step)))].T
+            own = keys[r - low, c]
+            if same:
+                keys = keys[np.arange(len(second))[None, :] > np.arange(low, low + len(keys))[:, None]]
+            for f, sign, part in ((False, 1, keys), (False, -1, own), (True, 1, own)):
+                for value, m in zip(*(z.tolist() for z in counted(part))):
+                    found[f, value] = found.get((f, value), 0) + sign * m
+        found = {key: m for key, m in found.items() if m}
         near, value = zip(*found) if found else ((), ())
+        value = np.array(value, dtype=np.float64) / scale + 0.0
         return pa.table({"near": pa.array(near, pa.bool_()), "value": pa.array(value, pa.float64()), "n": pa.array(list(found.values()), pa.int64())})
 
     paired = _block_pairs(rows, "vertex", blocks).groupBy("i", "j").cogroup(near.groupBy("oi", "oj"))
-    counted = paired.applyInArrow(count, "near boolean, value double, n bigint")
-    return counted.groupBy(F.col("near").alias("adjacent"), F.col("value").alias("product")).agg(F.sum("n").alias("n_pairs"))
+    counts = paired.applyInArrow(count, "near boolean, value double, n bigint")
+    return counts.groupBy(F.col("near").alias("adjacent"), F.col("value").alias("product")).agg(F.sum("n").alias("n_pairs"))
 
 
 def eigenvalues(edges: DataFrame, most: int = 8, block: int = 4, digits: int = 6, seed: int = 5) -> DataFrame:
