@@ -85,3 +85,21 @@ def test_empty_and_large_tables(spark):
     big = search.nearest(queries, items, 3, 8, ship_bytes=1000).collect()
     want = plain(q, y, 3, "l2")
     assert {(r["q_id"], r["rank"]): r["vec_id"] for r in big} == {(i, n + 1): v[n][0] for i, v in want.items() for n in range(3)}
+
+
+def test_large_tables_have_few_groups(spark, monkeypatch):
+    """Groups grow with a table, floats travel as floats, and vectors of the last visits are not stored."""
+    for name, value in dict(GROUP_ROWS=20, GROUPS=4).items():
+        monkeypatch.setattr(cells, name, value)
+    q, y = (x.astype(np.float32) for x in tables("clusters"))
+    queries, items = frame(spark, q, "q_id", "q_vec"), frame(spark, y, "vec_id", "embedding")
+    floats = queries.selectExpr("q_id", "CAST(q_vec AS array<float>) AS q_vec")
+    left, right = cells._side(floats, "q_id", "q_vec"), cells._side(items, "vec_id", "embedding")
+    assert left.schema["v"].dataType.simpleString() == "array<float>"
+    built, _ = cells.build_cells(right, 8)
+    assert len(built.rows) <= 2 * 4 + 1
+    visits, _ = cells.search_cells(left, right, 3, 8)
+    assert "v" not in visits.columns
+    want = plain(q.astype(float), y.astype(float), 3, "l2")
+    got = {(r["q"], r["rank"]): r["i"] for r in cells.best_of_visits(visits, 3).collect()}
+    assert got == {(i, n + 1): v[n][0] for i, v in want.items() for n in range(3)}

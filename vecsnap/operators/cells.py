@@ -32,8 +32,10 @@ from vecsnap.session import written
 
 PIVOT_BYTES = 16 << 20
 MAX_PIVOTS = 4096
-# Items of a group, and queries that one copy of a group answers.
-GROUP_ROWS, QUERY_ROWS, LEAST_SLICE = 16_384, 65_536, 1024
+# Items of a group, and queries that one copy of a group answers. Large tables have larger groups, so that
+# a query goes to no more than some GROUPS of them, and no more slices than a cluster has use for.
+GROUP_ROWS, MOST_GROUP_ROWS, GROUPS = 16_384, 131_072, 16
+QUERY_ROWS, LEAST_SLICE, SLICES = 65_536, 1024, 256
 # Working set of a block of queries against one cell.
 BLOCK_BYTES = 8 << 20
 VISIT = "id bigint, ids array<bigint>, scores array<double>, bound double, compared bigint"
@@ -99,21 +101,28 @@ def _halved(x: np.ndarray) -> np.ndarray:
 
 
 def _side(df: DataFrame, id_col: str, vec: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    # Floats travel as they are; the kernels compute with doubles either way.
+    v = F.col(vec) if df.schema[vec].dataType.simpleString() == "array<float>" else F.col(vec).cast("array<double>")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"))
+
+
+def _kind(df: DataFrame) -> str:
+    return df.schema["v"].dataType.simpleString()
 
 
 def build_cells(
-    items: DataFrame, dim: int, metric: str = "l2", n_pivots: int | None = None, group_rows: int = GROUP_ROWS
+    items: DataFrame, dim: int, metric: str = "l2", n_pivots: int | None = None, group_rows: int | None = None
 ) -> tuple[Cells, DataFrame] | None:
     """Cells of ``items (id, v)``, and the items with ``cell`` and ``grp``, stored once."""
     n = items.count()
     if not n:
         return None
+    group_rows = group_rows or min(MOST_GROUP_ROWS, max(GROUP_ROWS, -(-n // GROUPS)))
     most = max(1, min(MAX_PIVOTS, PIVOT_BYTES // (8 * (dim + 1))))
     n_pivots = min(most, n_pivots or max(1, int(np.sqrt(n))))
     length = 0.0
     if metric != "l2":
-        square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+        square = F.aggregate(F.col("v").cast("array<double>"), F.lit(0.0), lambda a, x: a + x * x)
         length = float(np.sqrt(items.agg(F.max(square)).first()[0])) * (1 + 1e-12)
     sample = to_matrix(hash_sample(items, "id", n_pivots).limit(most).toArrow().combine_chunks().column("v").combine_chunks(), dim)
     blank = Cells(*[np.zeros((0, 0))] * 6, metric, length)
@@ -132,7 +141,7 @@ def build_cells(
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell.astype(np.int32)), pa.array(far)], PLACED)
 
     PLACED = ["id", "v", "cell", "far"]
-    placed = items.select("id", "v").mapInArrow(place, "id bigint, v array<double>, cell int, far double")
+    placed = items.select("id", "v").mapInArrow(place, f"id bigint, v {_kind(items)}, cell int, far double")
     placed = written(placed, "cells")
     count, inner, outer = np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots)), np.zeros(len(pivots))
     # An empty cell is beyond everything.
@@ -207,7 +216,8 @@ def _visits(cells: Cells, items: DataFrame, queries: DataFrame, counts: dict[int
     """
     spark = items.sparkSession
     # Small searches are cut finer, so that every core has a few slices.
-    even = sum(counts.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    even = sum(counts.values()) // min(4 * partitions, max(SLICES, partitions))
     query_rows = min(query_rows, max(LEAST_SLICE, even))
     slots = [(int(g), max(1, -(-n // query_rows))) for g, n in counts.items()]
     table = F.broadcast(spark.createDataFrame(slots, "grp int, copies int"))
@@ -233,7 +243,7 @@ def _visits(cells: Cells, items: DataFrame, queries: DataFrame, counts: dict[int
     right = items.join(table, "grp").select("id", "v", "cell", F.col("grp").alias("of"), copies.alias("copy"))
     left = left.select("id", "v", "bound", "grp", F.col("slice").cast("bigint").alias("slice"))
     both = left.groupBy("grp", "slice").cogroup(right.groupBy("of", "copy"))
-    return both.applyInArrow(run, VISIT + ", v array<double>, grp int")
+    return both.applyInArrow(run, f"{VISIT}, v {_kind(queries)}, grp int")
 
 
 def _count_by_group(groups: DataFrame) -> dict[int, int]:
@@ -242,7 +252,7 @@ def _count_by_group(groups: DataFrame) -> dict[int, int]:
 
 def search_cells(
     queries: DataFrame, items: DataFrame, k: int, dim: int, metric: str = "l2", skip_same_id: bool = False,
-    n_pivots: int | None = None, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS,
+    n_pivots: int | None = None, group_rows: int | None = None, query_rows: int = QUERY_ROWS,
 ) -> tuple[DataFrame, int] | None:
     """Visits of all queries (see ``VISIT``), stored, and the number of pivots; none without items.
 
@@ -254,7 +264,7 @@ def search_cells(
     cells, dealt = built
     shared = queries.sparkSession.sparkContext.broadcast(cells)
     width = max(dim, len(cells.pivots))
-    stage = "id bigint, v array<double>, bound double, grp int"
+    stage = f"id bigint, v {_kind(queries)}, bound double, grp int"
 
     def home(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The group of the nearest cell; of a dealt cell, one by the query's id."""
@@ -302,11 +312,12 @@ def search_cells(
     plan = found.select("id", "v", "bound", "grp")
     per_group = plan.mapInArrow(counted, "grp int, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).collect()
     if not per_group:
-        return found, len(cells.pivots)
+        return found.drop("v", "grp"), len(cells.pivots)
     more = plan.mapInArrow(onward, stage)
     counts = {r["grp"]: r["n"] for r in per_group}
-    more = written(_visits(cells, dealt, more, counts, k, dim, skip_same_id, query_rows), "visits")
-    return found.unionByName(more), len(cells.pivots)
+    # These queries go no further, so their vectors are not stored again.
+    more = _visits(cells, dealt, more, counts, k, dim, skip_same_id, query_rows).drop("v", "grp")
+    return found.drop("v", "grp").unionByName(written(more, "visits")), len(cells.pivots)
 
 
 def best_of_visits(visits: DataFrame, k: int) -> DataFrame:
