@@ -35,6 +35,21 @@ def test_neighbour_histogram(spark, hub_degree, block):
     assert {(r["adjacent"], r["shared"]): r["n_pairs"] for r in out} == dict(want)
 
 
+def test_light_neighbours_make_no_rows(spark, monkeypatch):
+    """Twenty vertices just below the limit beside one hub: the pairs they make are met in blocks, never joined as rows."""
+    m = np.zeros((80, 80), dtype=bool)
+    m[:20, 20:] = np.random.default_rng(4).random((20, 60)) < 0.8
+    m[20, 20:] = True
+    m[20, 20] = False
+    m |= m.T
+    common, upper = m.astype(int) @ m.astype(int), np.triu(np.ones(m.shape, dtype=bool), 1)
+    most = int(m.sum(axis=0).max())
+    monkeypatch.setattr(spectrum, "_block_pairs", None)
+    out = spectrum.neighbour_histogram(edge_table(spark, m), most - 1).collect()
+    want = Counter((bool(f), int(c)) for f, c in zip(m[upper], common[upper]))
+    assert {(r["adjacent"], r["shared"]): r["n_pairs"] for r in out} == dict(want)
+
+
 def test_block_graph(spark):
     """The 100-vertex graph: 0 common neighbours or 6, three products, three eigenvalues."""
     edges = edge_table(spark, adjacency())

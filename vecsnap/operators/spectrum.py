@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from vecsnap.kernels.arrow import to_matrix
 from vecsnap.operators.graph import both_ways, degrees
+from vecsnap.operators.sets import _large_overlaps
 from vecsnap.session import written
 
 # Above this degree a vertex is a hub; beyond MAX_HUBS hubs the limit rises.
 HUB_DEGREE, MAX_HUBS, BLOCK_VERTICES = 256, 4096, 2048
+# Pairs with a light common neighbour, for each edge, up to which these become rows beside the hubs.
+LIGHT_PAIRS = 8
 # Blocks into which a table of vectors is cut, while these have no more vectors than the limit;
 # products that a task counts at once, and distinct rounded values that it counts by number.
 PRODUCT_BLOCKS, MAX_BLOCK, PRODUCTS, MOST_BINS = 48, 65_536, 1 << 16, 1 << 18
@@ -39,68 +42,78 @@ def neighbour_histogram(
 ) -> DataFrame:
     """``(adjacent, shared, n_pairs)``: pairs of vertices by their number of common neighbours.
 
-    ``edges (a, b)`` are distinct with a < b. Pairs that share nothing follow from the totals.
+    ``edges (a, b)`` are distinct with a < b. Pairs that share nothing follow from the totals. Where there are
+    no hubs, or others make too many pairs, neighbours are met as the items of sets, and no pair is a row.
     """
     edges = written(edges.select("a", "b"), "edges")
     deg = written(degrees(edges), "degrees")
     facts = deg.agg(F.count(F.lit(1)).alias("n"), F.sum("degree").alias("d")).first()
     n, n_edges = facts["n"], (facts["d"] or 0) // 2
     limit = max(hub_degree, -(-2 * n_edges // max_hubs))
+    d = F.col("degree").cast("double")
+    light = deg.agg(F.sum(F.when(d <= limit, d * (d - 1) / 2)).alias("pairs"), F.count_if(d > limit).alias("hubs")).first()
+    if not light["hubs"] or (light["pairs"] or 0) > LIGHT_PAIRS * n_edges:
+        sets = both_ways(edges).join(deg, "v").select(F.col("v").alias("s"), F.col("w").alias("x"), F.col("degree").alias("size"))
+        met = _large_overlaps(sets, 0, per_set=False, near=True)
+        # Two vertices find each other.
+        counted = met.groupBy(F.col("other_large").alias("near"), F.col("shared").cast("bigint").alias("c"))
+        return _with_rest(counted.agg((F.sum("n") / 2).cast("bigint").alias("n")), n, n_edges)
     links = both_ways(edges).join(deg, "v")
     light = links.where(F.col("degree") <= limit).select("v", "w")
     wedges = light.join(light.select("v", F.col("w").alias("x")), "v").where("w < x")
     shared = wedges.groupBy(F.col("w").alias("a"), F.col("x").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     near = edges.withColumn("near", F.lit(True))
     hubs = deg.where(F.col("degree") > limit).select("v").collect()
-    by_pair = shared.join(near, ["a", "b"], "left").select("a", "b", "c", F.coalesce("near", F.lit(False)).alias("near"))
-    if not hubs:
-        counted = by_pair.groupBy("near", "c").agg(F.count(F.lit(1)).alias("n"))
-    else:
-        number = links.sparkSession.createDataFrame([(r["v"], k) for k, r in enumerate(hubs)], "v bigint, hub int")
-        rows = links.join(F.broadcast(number), "v").groupBy(F.col("w").alias("vertex")).agg(F.collect_list("hub").alias("hubs"))
-        rows = written(rows, "hubs")
-        n_rows, n_hubs = rows.count(), len(hubs)
-        blocks = max(1, -(-n_rows // block_vertices))
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-        # All pairs with a light common neighbour, and all edges: what the blocks have to add.
-        known = shared.join(near, ["a", "b"], "full").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("near", F.lit(False)).alias("near"))
-        has = rows.select("vertex", F.lit(True).alias("has"))
-        known = known.join(has.toDF("a", "ha"), "a", "left").join(has.toDF("b", "hb"), "b", "left")
-        inside = F.coalesce(F.col("ha") & F.col("hb"), F.lit(False))
-        known = written(known.select("a", "b", "c", "near", inside.alias("inside")), "known")
-        outside = known.where("NOT inside AND c > 0").groupBy("near", "c").agg(F.count(F.lit(1)).alias("n"))
+    number = links.sparkSession.createDataFrame([(r["v"], k) for k, r in enumerate(hubs)], "v bigint, hub int")
+    rows = links.join(F.broadcast(number), "v").groupBy(F.col("w").alias("vertex")).agg(F.collect_list("hub").alias("hubs"))
+    rows = written(rows, "hubs")
+    n_rows, n_hubs = rows.count(), len(hubs)
+    blocks = max(1, -(-n_rows // block_vertices))
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    # All pairs with a light common neighbour, and all edges: what the blocks have to add.
+    known = shared.join(near, ["a", "b"], "full").select("a", "b", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("near", F.lit(False)).alias("near"))
+    has = rows.select("vertex", F.lit(True).alias("has"))
+    known = known.join(has.toDF("a", "ha"), "a", "left").join(has.toDF("b", "hb"), "b", "left")
+    inside = F.coalesce(F.col("ha") & F.col("hb"), F.lit(False))
+    known = written(known.select("a", "b", "c", "near", inside.alias("inside")), "known")
+    outside = known.where("NOT inside AND c > 0").groupBy("near", "c").agg(F.count(F.lit(1)).alias("n"))
+
+    def count(vertices: pa.Table, known: pa.Table) -> pa.Table:
+        names, lists = vertices.column("vertex").to_numpy(), vertices.column("hubs").combine_chunks()
+        matrix = np.zeros((len(names), n_hubs), dtype=np.float32)
+        matrix[np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = 1
+        first, second = (np.flatnonzero(vertices.column(c).to_numpy(zero_copy_only=False)) for c in ("first", "second"))
+        total = (matrix[first] @ matrix[second].T).astype(np.int64)
+        flag = np.zeros(total.shape, dtype=bool)
+        if known.num_rows:
+            at = [dict(zip(names[side].tolist(), range(len(side)))) for side in (first, second)]
+            a, b = known.column("a").to_pylist(), known.column("b").to_pylist()
+            swap = [x not in at[0] or y not in at[1] for x, y in zip(a, b)]
+            r = np.array([at[0][y if s else x] for x, y, s in zip(a, b, swap)])
+            c = np.array([at[1][x if s else y] for x, y, s in zip(a, b, swap)])
+            np.add.at(total, (r, c), known.column("c").to_numpy())
+            flag[r, c] = known.column("near").to_numpy(zero_copy_only=False)
+            if np.array_equal(first, second):
+                total[c, r], flag[c, r] = total[r, c], flag[r, c]
+        keep = np.triu(np.ones(total.shape, dtype=bool), 1) if np.array_equal(first, second) else np.ones(total.shape, dtype=bool)
+        out = [(bool(f), k, m) for f in (False, True) for k, m in enumerate(np.bincount(total[keep & (flag == f)]).tolist()) if m and k]
+        near, c, m = zip(*out) if out else ((), (), ())
+        return pa.table({"near": pa.array(near, pa.bool_()), "c": pa.array(c, pa.int64()), "n": pa.array(m, pa.int64())})
+
+    # Written in both directions, an edge or wedge within one block would be met twice.
+    ij = [block("a").alias("ba"), block("b").alias("bb")]
+    dealt = known.where("inside").select("a", "b", "c", "near", *ij)
+    dealt = dealt.select("a", "b", "c", "near", F.least("ba", "bb").alias("oi"), F.greatest("ba", "bb").alias("oj"))
+    paired = _block_pairs(rows, "vertex", blocks)
+    within = paired.groupBy("i", "j").cogroup(dealt.groupBy("oi", "oj")).applyInArrow(count, "near boolean, c bigint, n bigint")
+    counted = within.unionByName(outside).groupBy("near", "c").agg(F.sum("n").alias("n"))
+    return _with_rest(counted, n, n_edges)
 
-        def count(vertices: pa.Table, known: pa.Table) -> pa.Table:
-            names, lists = vertices.column("vertex").to_numpy(), vertices.column("hubs").combine_chunks()
-            matrix = np.zeros((len(names), n_hubs), dtype=np.float32)
-            matrix[np.repeat(np.arange(len(names)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = 1
-            first, second = (np.flatnonzero(vertices.column(c).to_numpy(zero_copy_only=False)) for c in ("first", "second"))
-            total = (matrix[first] @ matrix[second].T).astype(np.int64)
-            flag = np.zeros(total.shape, dtype=bool)
-            if known.num_rows:
-                at = [dict(zip(names[side].tolist(), range(len(side)))) for side in (first, second)]
-                a, b = known.column("a").to_pylist(), known.column("b").to_pylist()
-                swap = [x not in at[0] or y not in at[1] for x, y in zip(a, b)]
-                r = np.array([at[0][y if s else x] for x, y, s in zip(a, b, swap)])
-                c = np.array([at[1][x if s else y] for x, y, s in zip(a, b, swap)])
-                np.add.at(total, (r, c), known.column("c").to_numpy())
-                flag[r, c] = known.column("near").to_numpy(zero_copy_only=False)
-                if np.array_equal(first, second):
-                    total[c, r], flag[c, r] = total[r, c], flag[r, c]
-            keep = np.triu(np.ones(total.shape, dtype=bool), 1) if np.array_equal(first, second) else np.ones(total.shape, dtype=bool)
-            out = [(bool(f), k, m) for f in (False, True) for k, m in enumerate(np.bincount(total[keep & (flag == f)]).tolist()) if m and k]
-            near, c, m = zip(*out) if out else ((), (), ())
-            return pa.table({"near": pa.array(near, pa.bool_()), "c": pa.array(c, pa.int64()), "n": pa.array(m, pa.int64())})
 
-        # Written in both directions, an edge or wedge within one block would be met twice.
-        ij = [block("a").alias("ba"), block("b").alias("bb")]
-        dealt = known.where("inside").select("a", "b", "c", "near", *ij)
-        dealt = dealt.select("a", "b", "c", "near", F.least("ba", "bb").alias("oi"), F.greatest("ba", "bb").alias("oj"))
-        paired = _block_pairs(rows, "vertex", blocks)
-        within = paired.groupBy("i", "j").cogroup(dealt.groupBy("oi", "oj")).applyInArrow(count, "near boolean, c bigint, n bigint")
-        counted = within.unionByName(outside).groupBy("near", "c").agg(F.sum("n").alias("n"))
+def _with_rest(counted: DataFrame, n: int, n_edges: int) -> DataFrame:
+    """Counts ``(near, c, n)`` of the pairs that share something, and those of the pairs that do not."""
     counted = written(counted, "histogram")
-    spark = edges.sparkSession
+    spark = counted.sparkSession
     totals = spark.createDataFrame([(True, n_edges), (False, n * (n - 1) // 2 - n_edges)], "near boolean, all bigint")
     rest = totals.join(counted.groupBy("near").agg(F.sum("n").alias("some")), "near", "left")
     rest = rest.select("near", F.lit(0).cast("bigint").alias("c"), (F.col("all") - F.coalesce("some", F.lit(0))).alias("n")).where("n > 0")
