@@ -208,6 +208,29 @@ def test_common_neighbours(spark):
     assert r["mu_mean"] == pytest.approx(np.mean(far)) and r["mu_variance"] == pytest.approx(np.var(far))
 
 
+@pytest.mark.parametrize("room, bucket", [(1 << 15, 1 << 20), (7, 9)])
+def test_graph_regularity_in_blocks(spark, monkeypatch, room, bucket):
+    """Triangles and 4-cycles of a graph with a hub, met in small blocks and in parts of a vertex; no wedge or pair is exchanged."""
+    monkeypatch.setattr(graph.sets, "MEET_PAIRS", room)
+    monkeypatch.setattr(graph.sets, "BUCKET_SETS", bucket)
+    rng = np.random.default_rng(8)
+    a = np.triu(rng.random((40, 40)) < 0.2, 1)
+    a[0, 1:] = True
+    a = a | a.T
+    edges = graph.undirected(spark.createDataFrame([(int(i), int(j)) for i, j in zip(*np.nonzero(a))], "src int, dst int"))
+    square, upper = a.astype(int) @ a.astype(int), np.triu(np.ones(a.shape, dtype=bool), 1)
+    r = graph.regularity(edges).first()
+    assert (r["n_edges"], r["lambda_min"], r["lambda_max"]) == (a.sum() // 2, square[a].min(), square[a].max())
+    far = square[upper & ~a]
+    assert r["mu_mean"] == pytest.approx(far.mean()) and r["mu_variance"] == pytest.approx(far.var())
+    closed = {(x["a"], x["b"]): x["n"] for x in graph._closed_wedges(edges, graph.degrees(edges)).collect()}
+    common = square[upper]
+    assert closed.pop((None, None)) == (common * (common - 1) // 2).sum() // 2
+    assert sorted(closed.values()) == sorted(c for c in square[upper & a].tolist() if c)
+    none = graph.regularity(edges.limit(0)).first()
+    assert (none["n_vertices"], none["n_edges"], none["lambda_min"], none["mu_mean"]) == (0, 0, None, None)
+
+
 def test_product_statistics(spark):
     v = vertices()
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id bigint, v array<double>")
