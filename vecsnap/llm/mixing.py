@@ -128,16 +128,17 @@ def mix(
 
     earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        F.col("source").alias("_s"),
-        F.col("_bucket").alias("_b"),
+        F.col("source").alias("_t"),
+        F.col("_bucket"),
         F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"),
     )
-    offsets = offsets.join(plan.withColumnRenamed("source", "_t"), F.col("_s").eqNullSafe(F.col("_t"))).drop("_t")
-    inside = (
-        Window.partitionBy("source", "_bucket").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    placed = keyed.withColumn("_run", F.sum("size").over(inside))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
+    offsets = offsets.join(plan.withColumnRenamed("source", "_u"), F.col("_t").eqNullSafe(F.col("_u"))).drop("_u")
+    # A null source as one key without nulls: the window and the join then share one exchange of the texts.
+    named = lambda c: F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(c).cast("string")))
+    offsets = offsets.withColumn("_s", named("_t")).drop("_t")
+    inside = Window.partitionBy("_s", "_bucket").orderBy("_key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    placed = keyed.withColumn("_s", named("source")).withColumn("_run", F.sum("size").over(inside))
+    placed = placed.join(offsets, ["_s", "_bucket"])
     middle = F.col("_offset") + F.col("_run") - F.col("size") / 2
     copy_at = lambda e: middle + e * F.col("source_size")
     fits = F.filter(F.sequence(F.lit(0), F.lit(max_repeats - 1)), lambda e: copy_at(e) < F.col("target"))
@@ -148,7 +149,7 @@ def mix(
         .withColumn("copies", F.size("_epochs"))
         .withColumn("taken", F.col("size") * F.col("copies"))
         .withColumn("positions", F.transform("_epochs", at))
-        .drop("_key", "_bucket", "_run", "_s", "_b", "_offset", "_segments", "_epochs")
+        .drop("_key", "_bucket", "_run", "_s", "_offset", "_segments", "_epochs")
     )
 
 
